@@ -1,0 +1,52 @@
+"""The registered queries of this package, with production parameters, and their SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm.common import table, text_of
+
+BYTE_BPE, WORD_BPE = "byte_bpe_50k.json", "word_bpe_49k.json"
+
+
+def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.exact_dedup import exact_groups
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sha = F.sha2(F.encode(text_of(), "UTF-8"), 256)
+    return exact_groups(docs, keep={"text_sha256": sha}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.line_dedup import line_dedup
+
+    found = line_dedup(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_length=1)
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+QUERIES = {
+    "op2_exact_dedup": op2_exact_dedup,
+    "op10_line_dedup": op10_line_dedup,
+}
+
+_BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_KEY = f"translate(trim(line, {_BLANK}), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+SQL = {
+    "op2_exact_dedup": """
+        SELECT doc_id, max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS keep_id,
+               count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+               doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
+               sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
+    "op10_line_dedup": f"""
+        WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
+        keyed AS (SELECT doc_id, line, pos, {_KEY} AS key FROM lines),
+        frequent AS (SELECT key FROM keyed WHERE length(key) >= 1 GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+        marked AS (SELECT k.doc_id, k.line, k.pos, f.key IS NOT NULL AS dropped FROM keyed k LEFT JOIN frequent f ON k.key = f.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+        FROM marked GROUP BY doc_id""",
+}
