@@ -18,6 +18,34 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, keep={"text_sha256": sha}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.common import Scratch
+    from paperloom.llm.token_store import write_tokens
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return write_tokens(docs, Scratch(spark, "tokens").path("store"), _vocabulary(WORD_BPE), "words", end_id=2).documents()
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.packing import pack
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pack(docs, _vocabulary(BYTE_BPE), "spaces", end_id=0, length=1024)
+
+
+def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.simhash import simhash_groups
+
+    found = simhash_groups(table(spark, sf_dir, "documents").select("doc_id", "text"), words=3, bits=64, radius=2)
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.line_dedup import line_dedup
 
@@ -26,7 +54,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_token_store": op1_token_store,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_packing": op3_packing,
+    "op4_simhash": op4_simhash,
     "op10_line_dedup": op10_line_dedup,
 }
 
