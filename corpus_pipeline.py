@@ -1,4 +1,60 @@
-"""The training-data pipeline over `documents`: STAGES, run() and its SQL (none: SQL cannot express its stages)."""
+"""The training-data pipeline over `documents`.
 
-STAGES = []
+STAGES are (name, function); each function takes (spark, docs, sf_dir), works on everything its
+predecessor kept, and its result is written as Parquet and read again as the next one's docs.  All
+but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from paperloom.llm.common import Scratch, table
+from paperloom.llm.decontaminate import clean
+from paperloom.llm.exact_dedup import drop_exact
+from paperloom.llm.packing import pack
+from paperloom.llm.quality import score, train
+from paperloom.llm.queries import BYTE_BPE, vocabulary
+from paperloom.llm.simhash import drop_near
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps what the classifier of operator 9 gives a score of 0.5 or more."""
+    model = train(docs, table(spark, sf_dir, "labels"))
+    return score(docs, model).where(F.col("__score") >= 0.5).drop("__score")
+
+
+def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the largest doc_id of equal texts (operator 2)."""
+    return drop_exact(docs)
+
+
+def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the row with the smallest doc_id of each group of near copies (operator 4)."""
+    return drop_near(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that hold a benchmark item (operator 7)."""
+    return clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs the tokens of what is left into sequences (operator 3)."""
+    return pack(docs, vocabulary(BYTE_BPE), "spaces", end_id=0, length=1024)
+
+
+STAGES = [("quality", quality), ("exact_dedup", exact), ("near_dedup", near), ("decontamination", decontaminate), ("packing", packing)]
+
+#: SQL cannot express the classifier, the fingerprints or the tokenizer; the tests hold run() against a brute-force version.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage."""
+    work = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = work.save(stage(spark, docs, sf_dir), name)
+    return docs

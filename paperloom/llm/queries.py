@@ -18,7 +18,7 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(docs, keep={"text_sha256": sha}).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-def _vocabulary(name: str) -> str:
+def vocabulary(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
@@ -29,14 +29,14 @@ def op1_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.token_store import write_tokens
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return write_tokens(docs, Scratch(spark, "tokens").path("store"), _vocabulary(WORD_BPE), "words", end_id=2).documents()
+    return write_tokens(docs, Scratch(spark, "tokens").path("store"), vocabulary(WORD_BPE), "words", end_id=2).documents()
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.packing import pack
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return pack(docs, _vocabulary(BYTE_BPE), "spaces", end_id=0, length=1024)
+    return pack(docs, vocabulary(BYTE_BPE), "spaces", end_id=0, length=1024)
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,52 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.common import Scratch
+    from paperloom.llm.warc import read_warc, write_warc
+
+    work = Scratch(spark, "warc")
+    path = work.path("archive")
+    write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), path, work)
+    return read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.url_filter import judge
+
+    return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per document that holds a benchmark item: its id, how many items, and the most overlap."""
+    from paperloom.llm.decontaminate import contaminated
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = contaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+    return found.groupBy("doc_id").agg(F.countDistinct("item_id").alias("n_items"), F.max("overlap").alias("overlap"))
+
+
+def op8_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.extract_html import extract
+
+    return extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from paperloom.llm.quality import held_out, score, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, table(spark, sf_dir, "labels"))
+    found = score(docs, model)
+    return found.select("doc_id", held_out().alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= 0.5).cast("int").alias("predicted"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from paperloom.llm.line_dedup import line_dedup
 
@@ -58,7 +104,13 @@ QUERIES = {
     "op2_exact_dedup": op2_exact_dedup,
     "op3_packing": op3_packing,
     "op4_simhash": op4_simhash,
+    "op5_warc": op5_warc,
+    "op6_url_filter": op6_url_filter,
+    "op7_decontaminate": op7_decontaminate,
+    "op8_extract_html": op8_extract_html,
+    "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "pipeline": pipeline,
 }
 
 _BLANK = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -71,6 +123,13 @@ SQL = {
                doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, '')) AS kept,
                sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
+    "op5_warc": """
+        WITH p AS (SELECT page_id, sha256(coalesce(html, '')) AS digest, strlen(coalesce(html, '')) AS size FROM pages),
+        f AS (SELECT digest, min(page_id) AS first FROM p WHERE size >= 100 GROUP BY digest)
+        SELECT page_id, size AS payload_bytes, p.digest AS payload_digest,
+               CASE WHEN first IS NOT NULL AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN page_id <> first THEN first END AS refers_to
+        FROM p LEFT JOIN f USING (digest)""",
     "op10_line_dedup": f"""
         WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         lines AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM split),
