@@ -52,7 +52,8 @@ def exact_groups(
         if first:
             groups = groups.where("n > 1")
         groups = work.save(groups.withColumn("new_gid", F.monotonically_increasing_id()), "groups")
-        joined = keyed.join(groups, ["gid", "digit"], "left")
+        # the same shuffled join at every size: its cost follows the input, and a hot key can be split
+        joined = keyed.join(groups.hint("shuffle_hash"), ["gid", "digit"], "left")
         if first:
             joined = joined.withColumn("rid", F.monotonically_increasing_id())
             alone = F.col("n").isNull()
