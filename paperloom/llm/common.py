@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.session import ship_package
+
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
 
@@ -28,6 +30,7 @@ class Scratch:
     """Written tables that cut lineage: a lost executor costs at most the step that ran."""
 
     def __init__(self, spark: SparkSession, name: str):
+        ship_package(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -53,6 +56,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -2,8 +2,8 @@
 
 A word is a hashed bucket.  Its vector is a fixed sparse random index plus what a bounded sample of
 labelled texts shows around it: the sum of its neighbours' indices.  A piece between white space
-counts as its bare word, the shape of its letters, and the punctuation at either end.  A document
-is the mean over all of these.  Two layers in numpy turn that into a logit, and a temperature
+counts as its bare word, the shape of its letters, and the punctuation at either end; a piece that
+follows itself also counts as a repetition.  A document is the mean over all of these.  Two layers in numpy turn that into a logit, and a temperature
 fitted on labelled rows that the layers did not see calibrates it.  Only the text is an input.
 """
 
@@ -50,6 +50,9 @@ def piece_buckets(piece: str) -> tuple[int, ...]:
     return (*([_bucket("w", word.lower()), _bucket("s", _shape(word))] if word else []), *found)
 
 
+REPEAT = _bucket("r", "")
+
+
 def index_vectors() -> np.ndarray:
     """Sparse ternary index vectors of all buckets."""
     rng = np.random.default_rng(7)
@@ -87,6 +90,12 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
             own[some] = np.add.reduceat(vectors[flat], (np.cumsum(n) - n)[some], axis=0)
         total = np.zeros((len(block), DIMENSIONS), dtype=np.float32)
         count = np.zeros(len(block), dtype=np.int64)
+        # a word that follows itself counts once more, as the pseudo-word of repetition
+        again = np.flatnonzero((at[1:] == at[:-1]) & (n[at[1:]] > 0)) + 1
+        doc = np.searchsorted(offsets, again, side="right") - 1
+        repeats = np.bincount(doc[again > offsets[doc]], minlength=len(block))
+        total += repeats[:, None].astype(np.float32) * vectors[REPEAT]
+        count += repeats
         step = 200_000  # pieces whose vectors are held at a time
         for a in range(0, len(at), step):
             b = min(len(at), a + step)

@@ -16,7 +16,8 @@ from paperloom.llm.line_dedup import LOWER, UPPER
 #: (verdict, rule) of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 DAMPING, STEPS, TOLERANCE = 0.85, 30, 1e-9
-#: A host is a seed if rules of one verdict decide this share of its pages; it is blocked if distrust is over this share of both scores.
+#: A host is a seed if this share of its pages is allowed, or blocked by rules of whole hosts (a rule of one folder does
+#: not speak for the host); it is blocked if distrust is over the second share of both scores.
 SEED_SHARE, BLOCK_SHARE = 0.5, 0.5
 _HREF = r"""(?i)\bhref\s*=\s*["']?\s*(?:https?:)?//([^/?#"'\s<>]+)"""
 
@@ -76,7 +77,9 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     rows = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
     rule, verdict = best_rule(F.col("host"), F.col("path"), rules)
     rows = rows.withColumns({"rule": rule, "ruled": verdict})
-    share = lambda kind: F.avg((F.coalesce("ruled", F.lit("")) == kind).cast("double"))
+    whole = F.instr("rule", "/") == F.length("rule")
+    speaks = F.when(F.col("ruled") == "allow", F.lit("allow")).when((F.col("ruled") == "block") & whole, F.lit("block")).otherwise(F.lit(""))
+    share = lambda kind: F.avg((speaks == kind).cast("double"))
     hosts = rows.where("host <> ''").groupBy("host").agg(share("allow").alias("allow"), share("block").alias("block"))
     kind = F.when(F.col("allow") >= SEED_SHARE, F.lit("allow")).when(F.col("block") >= SEED_SHARE, F.lit("block"))
     seeds = hosts.select("host", kind.alias("kind")).where("kind is not null")
