@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.plans import curation, search
+from paperloom.plans import curation, search, streams
 
-MODULES = (search, curation)
+MODULES = (search, curation, streams)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
