@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from paperloom.plans import curation, papers, search, streams
+from paperloom.plans import curation, incremental, papers, search, streams
 
-MODULES = (search, curation, streams, papers)
+MODULES = (search, curation, streams, papers, incremental)
 QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
