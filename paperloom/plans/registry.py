@@ -2,8 +2,23 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from paperloom.plans import curation, incremental, papers, search, streams
 
+from paperloom.session import ship_package
+
 MODULES = (search, curation, streams, papers, incremental)
-QUERIES = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+
+
+def _shipped(f):
+    @wraps(f)
+    def query(spark, sf_dir):
+        ship_package(spark)
+        return f(spark, sf_dir)
+
+    return query
+
+
+QUERIES = {name: _shipped(f) for m in MODULES for name, f in m.QUERIES.items()}
 SQL = {name: text for m in MODULES for name, text in m.SQL.items()}
