@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from paperloom.plans import answers, curation, incremental, papers, search, streams
+from paperloom.plans import answers, curation, incremental, papers, questions, search, streams
 
 from paperloom.session import ship_package
 
-MODULES = (search, curation, streams, papers, answers, incremental)
+MODULES = (search, curation, streams, papers, questions, answers, incremental)
 
 
 def _shipped(f):
