@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.text import query_terms, tokens
+from paperloom.operators.graph import use_checkpoints
 
 
 def read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
@@ -43,8 +44,18 @@ def queries_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return items.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
 
 
-def asked_postings(terms: DataFrame, queries: DataFrame) -> DataFrame:
-    """(doc_id, term_count, term, tf) of the terms in queries only; term_count rides along."""
-    wanted = queries.select("term").distinct()
-    long = terms.select("doc_id", "term_count", F.explode("terms").alias("term"))
-    return long.join(wanted, "term", "left_semi").groupBy("doc_id", "term_count", "term").agg(F.count("*").alias("tf"))
+#: Stands for a document as such among its terms; no term is empty.
+WHOLE = ""
+
+
+def asked_postings(terms: DataFrame, queries: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, term_count, term, tf) of the terms in queries only, and corpus_stats of all documents.
+
+    Both come from one pass over the texts: a document's length rides along as a posting of its own,
+    and what is left of the corpus after the semi-join is checkpointed for the steps that follow.
+    """
+    use_checkpoints(terms.sparkSession)
+    wanted = queries.select("term").union(queries.sparkSession.createDataFrame([(WHOLE,)], "term string")).distinct()
+    long = terms.select("doc_id", "term_count", F.explode(F.array_append("terms", F.lit(WHOLE))).alias("term"))
+    found = long.join(wanted, "term", "left_semi").groupBy("doc_id", "term_count", "term").agg(F.count("*").alias("tf")).checkpoint()
+    return found.where(F.col("term") != WHOLE), corpus_stats(found.where(F.col("term") == WHOLE))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.operators.index import asked_postings, corpus_stats, postings
+from paperloom.operators.graph import use_checkpoints
+from paperloom.operators.index import asked_postings, postings
 
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -36,9 +37,9 @@ def rank(scores: DataFrame, k: int | None = None, ties: tuple[str, ...] = ("doc_
 
 def bm25_contributions(terms: DataFrame, queries: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     """(query_id, doc_id, term, tf, df, idf, contribution) of every match."""
-    found = asked_postings(terms, queries)
+    found, stats = asked_postings(terms, queries)
     df = found.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = queries.join(df, "term").crossJoin(corpus_stats(terms)).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df")))
+    weighed = queries.join(df, "term").crossJoin(stats).withColumn("idf", bm25_idf(F.col("n_docs"), F.col("df")))
     joined = found.join(weighed, "term")
     weight = bm25_weight(F.col("tf"), F.col("idf"), F.col("term_count"), F.col("avg_len"), k1, b)
     return joined.select("query_id", "doc_id", "term", "tf", "df", "idf", weight.alias("contribution"))
@@ -53,12 +54,14 @@ def bm25(terms: DataFrame, queries: DataFrame, k: int = 10, **settings) -> DataF
 
 def tfidf(terms: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, doc_id, score): cosine of sublinear TF and smooth IDF; norms are over all terms of a document."""
-    every = postings(terms)
+    use_checkpoints(terms.sparkSession)
+    every = postings(terms).checkpoint()  # the index: it is read for frequencies, norms and products
+    n_docs = every.agg(F.countDistinct("doc_id").alias("n_docs"))
     df = every.groupBy("term").agg(F.count("*").alias("df"))
     weight = sublinear_tf(F.col("tf")) * smooth_idf(F.col("n_docs"), F.col("df"))
-    weighed = every.join(df, "term").crossJoin(corpus_stats(terms).select("n_docs")).withColumn("w", weight).select("doc_id", "term", "w")
+    weighed = every.join(df, "term").crossJoin(n_docs).withColumn("w", weight).select("doc_id", "term", "w")
     norms = weighed.groupBy("doc_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    asked = queries.join(df, "term").crossJoin(corpus_stats(terms).select("n_docs")).withColumn("qw", smooth_idf(F.col("n_docs"), F.col("df")))
+    asked = queries.join(df, "term").crossJoin(n_docs).withColumn("qw", smooth_idf(F.col("n_docs"), F.col("df")))
     query_norms = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("query_norm"))
     dots = weighed.join(asked.select("query_id", "term", "qw"), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("w") * F.col("qw")).alias("dot"))
     scores = dots.join(norms, "doc_id").join(query_norms, "query_id")

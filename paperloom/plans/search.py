@@ -134,8 +134,9 @@ def rerank_features(spark, d):
     """Coverage, rare-term coverage and length signals of the twenty best documents, and a score of them."""
     terms, queries = _terms(spark, d), _queries(spark, d)
     best = R.bm25(terms, queries, 20)
-    stats = I.corpus_stats(terms).select("n_docs")
-    df = I.asked_postings(terms, queries).groupBy("term").agg(F.count("*").alias("df"))
+    found, stats = I.asked_postings(terms, queries)
+    stats = stats.select("n_docs")
+    df = found.groupBy("term").agg(F.count("*").alias("df"))
     weighed = queries.join(df, "term", "left").crossJoin(stats).withColumn("w", R.smooth_idf(F.col("n_docs"), F.coalesce("df", F.lit(0))))
     total = weighed.groupBy("query_id").agg(F.sum("w").alias("all_w"), F.count("*").alias("all_n"))
     hit = best.join(weighed.select("query_id", "term", "w"), "query_id").join(terms.select("doc_id", "terms"), "doc_id").where(F.array_contains("terms", F.col("term")))
