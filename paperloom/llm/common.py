@@ -26,11 +26,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Rows and bytes that go to a worker at a time, where the session does not say: texts may be long.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+
+
+def prepare(spark: SparkSession) -> None:
+    """Gives workers the package and bounds what they are sent."""
+    ship_package(spark)
+    for key, value in BATCHES.items():
+        if spark.conf.get(key, None) is None:
+            spark.conf.set(key, value)
+
+
 class Scratch:
     """Written tables that cut lineage: a lost executor costs at most the step that ran."""
 
     def __init__(self, spark: SparkSession, name: str):
-        ship_package(spark)
+        prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
@@ -56,7 +68,7 @@ class Scratch:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -22,7 +22,7 @@ from paperloom.llm import pieces
 #: Buckets, length of a vector, its non-zero entries, and words around one that count.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 #: The labelled sample: rows with the lowest hashes of their ids, and the code points that such a row may have.
-SAMPLE_ROWS, SAMPLE_CHARS = 4000, 32_768
+SAMPLE_ROWS, SAMPLE_CHARS = 2000, 32_768
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 _ENDS = re.compile(r"([^\w\s]*)(.*?)([^\w\s]*)", re.S)
 
@@ -96,7 +96,7 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         repeats = np.bincount(doc[again > offsets[doc]], minlength=len(block))
         total += repeats[:, None].astype(np.float32) * vectors[REPEAT]
         count += repeats
-        step = 200_000  # pieces whose vectors are held at a time
+        step = 50_000  # pieces whose vectors are held at a time
         for a in range(0, len(at), step):
             b = min(len(at), a + step)
             first = int(np.searchsorted(offsets, a, side="right")) - 1

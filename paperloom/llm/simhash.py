@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch
+from paperloom.llm.pieces import release
 
 #: A-Z to a-z; other bytes stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -237,7 +238,8 @@ def simhash_groups(
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t, words, bits, distinct) for t in batch.column(2).to_pylist()]
+            fp = [fingerprint(t.as_py(), words, bits, distinct) for t in batch.column(2)]
+            release()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["id", "text_hash", "fp"])
 
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -255,8 +257,9 @@ def simhash_groups(
     return joined.select(F.col("id").alias(id_col), "text_hash", "fp", F.col("lead.id").alias("component_id"), first.alias("first"))
 
 
-#: The stage on five-word shingles: similarity, bits, and the recall that its tables are laid out for.
-SIMILARITY, STAGE_BITS, RECALL = 0.8, 256, 0.99
+#: The stage on five-word shingles: similarity, bits, the recall that its tables are laid out for, and by how many
+#: deviations the radius is beyond the mean distance of that similarity (95 % of such pairs are within it).
+SIMILARITY, STAGE_BITS, RECALL, DEVIATIONS = 0.8, 256, 0.99, 1.645
 
 
 def agreement(similarity: float) -> float:
@@ -268,11 +271,11 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """The rows of docs that lead their component, with all their columns.
 
     Five-word shingles as a set, 256 bits; pairs link at the distance that a Jaccard similarity of
-    0.8 makes on average, plus one deviation.  Keys take as many bits as keep about 64 fingerprints
+    0.8 makes on average, plus DEVIATIONS of its spread.  Keys take as many bits as keep about 64 fingerprints
     together, whatever the size of the table.
     """
     agree = agreement(SIMILARITY)
-    radius = round(STAGE_BITS * (1 - agree) + math.sqrt(STAGE_BITS * agree * (1 - agree)))
+    radius = round(STAGE_BITS * (1 - agree) + DEVIATIONS * math.sqrt(STAGE_BITS * agree * (1 - agree)))
     key_bits = max(12, round(math.log2(max(2, docs.count()))) - 6)
     tables = sampled_tables(STAGE_BITS, key_bits, agree, RECALL)
     groups = simhash_groups(docs, id_col, text_col, 5, STAGE_BITS, radius, tables, distinct=True)
