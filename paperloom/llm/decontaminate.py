@@ -27,7 +27,7 @@ from paperloom.llm.common import Scratch
 WINDOW, LITERALS = 8, 4
 #: The share of an item's windows that makes a document contaminated.
 SHARE = 0.3
-#: Windows of the benchmark up to which the bitmap is made; it has at least 16 and at most 2**28 bits a window.
+#: Windows of the benchmark up to which the bitmap is made; it has 2**22 to 2**28 bits, 256 a window between them.
 BITMAP_WINDOWS = 4_000_000
 
 # Units, which count only behind a number.
@@ -137,7 +137,7 @@ def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> Dat
 
 def bitmap_of(hashes: list[int]) -> tuple[np.ndarray, int]:
     """A bit for each hash, by its highest bits, and how far a hash is shifted to give its bit."""
-    bits = min(28, max(16, (16 * max(1, len(hashes))).bit_length()))
+    bits = min(28, max(22, (256 * len(hashes)).bit_length()))
     on = np.zeros(1 << bits, dtype=np.uint8)
     on[(np.array(hashes, dtype=np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = 1
     return np.packbits(on, bitorder="little"), 64 - bits
