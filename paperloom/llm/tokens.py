@@ -8,6 +8,7 @@ number of pieces).  Texts for whose shape a cut is not proven go through the lib
 
 from __future__ import annotations
 
+import itertools
 import os
 import re
 
@@ -15,20 +16,23 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from paperloom.llm.pieces import release
+
 #: Pieces that a worker remembers; a full cache is emptied.
-CACHE_PIECES = 600_000
+CACHE_PIECES = 500_000
 #: UTF-8 bytes of text that are cut at a time.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 #: Unicode white space without the ASCII characters, and what Python alone counts as such.
 _WIDE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 _ODD = r"\x{1C}-\x{1F}\x00"
 _UNSAFE = {
-    "spaces": rf"[{_ODD}]|[\x09-\x0D {_WIDE}][\x09-\x0D {_WIDE}]|^[\x09-\x0D {_WIDE}]|[\x09-\x0D {_WIDE}]$",
-    "words": rf"[{_ODD}]|[{_WIDE}\x0B\x0C]",
+    "spaces": rf"<\||[{_ODD}]|[\x09-\x0D {_WIDE}][\x09-\x0D {_WIDE}]|^[\x09-\x0D {_WIDE}]|[\x09-\x0D {_WIDE}]$",
+    "words": rf"<\||[{_ODD}]|[{_WIDE}\x0B\x0C]",
 }
-_WORD_TAIL = re.compile(r"( ?[^\W\d_]+)([!-&(-/:-@\[-`{-~]+)")
-_PLAIN = re.compile(r" ?[A-Za-z]+|[!-&(-/:-@\[-`{-~]+")
+#: A word and the punctuation behind it are separate tokens in both patterns; an apostrophe may begin a contraction.
+_TAIL = r"(\pL)([!-&(-/:-@\[-`{-~]+)"
+_PLAIN = re.compile(r" ?[A-Za-z]+|[!-&(-/:-@\[-`{-~]+").fullmatch
 
 
 class PieceEncoder:
@@ -47,57 +51,37 @@ class PieceEncoder:
         self.bare = Tokenizer(self.model.model)  # merges only, for pieces that are one token run of ASCII
         self.split = split
         self.cache: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         found = self.model.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=np.uint32) for e in found]
 
-    def _parts(self, piece: str) -> tuple[str, ...]:
-        """A word and the punctuation behind it are separate tokens in both patterns."""
-        if self.split == "words" and piece.isascii():
-            piece = piece.lower()
-        found = _WORD_TAIL.fullmatch(piece)
-        return found.groups() if found else (piece,)
-
-    def _ask(self, fresh: list[str]) -> list[bytes]:
-        """The packed ids of each part, from one library call for plain and one for other parts."""
-        out: list[bytes] = [b""] * len(fresh)
-        plain = [i for i, x in enumerate(fresh) if _PLAIN.fullmatch(x)]
-        other = [i for i, x in enumerate(fresh) if not _PLAIN.fullmatch(x)]
-        for model, at, texts in (
-            (self.bare, plain, [fresh[i].replace(" ", "Ġ") for i in plain]),
-            (self.model, other, [fresh[i] for i in other]),
-        ):
-            if not at:
+    def _ask(self, fresh: list[str]) -> None:
+        """Remembers the packed ids of new pieces, from one library call for plain and one for other ones."""
+        plain: list[str] = []
+        other: list[str] = []
+        for x in fresh:
+            (plain if _PLAIN(x) else other).append(x)
+        for model, texts, sent in ((self.bare, plain, [x.replace(" ", "Ġ") for x in plain]), (self.model, other, other)):
+            if not texts:
                 continue
-            found = model.encode(texts, is_pretokenized=True, add_special_tokens=False)
+            found = model.encode(sent, is_pretokenized=True, add_special_tokens=False)
             raw = np.array(found.ids, dtype=np.uint32).tobytes()
             word = np.array(found.word_ids, dtype=np.int64)
             cut = (np.searchsorted(word, np.arange(len(texts) + 1)) * 4).tolist()
-            for i, a, b in zip(at, cut, cut[1:], strict=False):
-                out[i] = raw[a:b]
-        return out
-
-    def _learn(self, pieces: list[str]) -> None:
-        parts = [self._parts(p) for p in pieces]
-        known = self.parts
-        if len(known) > CACHE_PIECES:
-            known.clear()
-        fresh = list({x for p in parts for x in p if x not in known})
-        known.update(zip(fresh, self._ask(fresh), strict=True))
-        self.cache.update(zip(pieces, [known[p[0]] if len(p) == 1 else known[p[0]] + known[p[1]] for p in parts], strict=True))
+            self.cache.update(zip(texts, [raw[i:j] for i, j in itertools.pairwise(cut)], strict=True))
 
     def _block(self, texts: pa.Array) -> list[np.ndarray]:
         unsafe = pc.match_substring_regex(texts, _UNSAFE[self.split])
         safe = pc.if_else(unsafe, "", texts)
         if self.split == "words":
+            safe = pc.ascii_lower(safe)
             for blank in "\t\n\r":
                 safe = pc.replace_substring(safe, blank, " ")
-            lists = pc.split_pattern(safe, " ")
+            lists = pc.split_pattern(pc.replace_substring_regex(safe, _TAIL + "( |$)", r"\1 \2\3"), " ")
         else:
             safe = pc.replace_substring(pc.replace_substring(safe, " ", "\0 "), "\n", "\0\n\0")
-            lists = pc.split_pattern(safe, "\0")
+            lists = pc.split_pattern(pc.replace_substring_regex(safe, _TAIL + r"(\x00|$)", "\\1\0\\2\\3"), "\0")
         coded = lists.flatten().dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         if len(self.cache) > CACHE_PIECES:
@@ -106,7 +90,7 @@ class PieceEncoder:
         cache[""] = b""
         new = [p for p in distinct if p not in cache]
         if new:
-            self._learn(new)
+            self._ask(new)
         packed = [cache[p] for p in distinct]
         size = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) >> 2
         table = np.frombuffer(b"".join(packed), dtype=np.uint32)
@@ -132,6 +116,7 @@ class PieceEncoder:
             base = end[len(out) - 1] if out else 0
             n = max(1, int(np.searchsorted(end, base + BLOCK_BYTES, side="right")) - len(out))
             out += self._block(texts.slice(len(out), n))
+        release()
         return out
 
 
