@@ -5,7 +5,8 @@ punctuation around them.  Windows of WINDOW canonical words of documents are joi
 those of the benchmark's items; a window needs LITERALS words that are no placeholder.  Windows
 that line up with one item are checked slot by slot: one value of the item must always stand for
 one value in the document, so a question with other numbers or names is caught while a chance
-sequence of placeholders is not.  A bitmap of the items' hashes, of bounded size, spares the join
+sequence of placeholders is not.  A value that stands for two takes only the windows that hold it
+out, and not those whose values are the item's own.  A bitmap of the items' hashes, of bounded size, spares the join
 windows that cannot match; beyond that bound the join does all the work.
 """
 
@@ -184,10 +185,11 @@ def contaminated(
     matched = found.join(wanted, "wh").select(
         "id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", F.arrays_zip(F.col("slots").alias("i"), F.col("values").alias("d")).alias("pairs")
     )
-    lined = matched.groupBy("id", "text_hash", "item_id", "shift").agg(
-        F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set("pairs"))).alias("pairs")
-    )
-    same = lined.where(F.size("pairs") == F.size(F.array_distinct(F.col("pairs.i"))))
+    lined = matched.groupBy("id", "text_hash", "item_id", "shift").agg(F.collect_set(F.struct("at", "pairs")).alias("found"))
+    pairs = F.array_distinct(F.flatten(F.col("found.pairs")))
+    lined = lined.withColumn("pairs", pairs).withColumn("torn", F.expr("filter(array_distinct(pairs.i), v -> size(filter(pairs, p -> p.i = v)) > 1)"))
+    agreed = F.expr("filter(found, w -> forall(w.pairs, p -> p.i = p.d) or not arrays_overlap(w.pairs.i, torn))")
+    same = lined.select("id", "text_hash", "item_id", "shift", agreed["at"].alias("ats")).where(F.size("ats") > 0)
     held = same.groupBy("id", "text_hash", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"))
     held = held.join(sizes, "item_id").withColumn("overlap", F.col("matched") / F.col("windows")).where(F.col("overlap") >= share)
     return held.select(F.col("id").alias(id_col), "text_hash", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "overlap")

@@ -206,6 +206,16 @@ def test_contaminated_slots_must_agree(spark):
     assert [r.doc_id for r in contaminated(docs, items).collect()] == [1]
 
 
+def test_a_conflict_drops_only_its_windows(spark):
+    rest = "the old miller counts his sacks by candle light and writes each sum into a book that nobody else may read"
+    item = f"values 5 and then 5 are put into the same old box as before while {rest}"
+    items = spark.createDataFrame([(1, item)], "item_id bigint, text string")
+    docs = [(1, item.replace("then 5", "then 6")), (2, item.replace("5 and then 5", "8 and then 9")), (3, rest[:30])]
+    found = {r.doc_id: r for r in contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    # five windows hold one of the two numbers; none of the item's other windows is lost
+    assert {d: (r.windows, r.matched) for d, r in found.items()} == {1: (29, 24), 2: (29, 24)}
+
+
 def test_contaminated_is_brute_force(spark):
     def words(t):
         return [w for w in (re.sub(r"^\W+|\W+$", "", x).lower() for x in t.split()) if w]
