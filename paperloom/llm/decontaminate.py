@@ -2,7 +2,10 @@
 
 Numbers, names and units become typed placeholders and other words are lower-cased without the
 punctuation around them.  Windows of WINDOW canonical words of documents are joined by hash with
-those of the benchmark's items; a window needs LITERALS words that are no placeholder.  Windows
+those of the benchmark's items; a window needs LITERALS words that are no placeholder, and one with
+fewer joins by the words and values themselves.  Items shorter than a window are matched whole, by
+template and by their words; those of fewer than LITERALS words only where they stand as a sentence
+or line of their own.  Windows
 that line up with one item are checked slot by slot: one value of the item must always stand for
 one value in the document, so a question with other numbers or names is caught while a chance
 sequence of placeholders is not.  A value that stands for two takes only the windows that hold it
@@ -28,6 +31,8 @@ from paperloom.llm.common import Scratch
 WINDOW, LITERALS = 8, 4
 #: The share of an item's windows that makes a document contaminated.
 SHARE = 0.3
+#: Words in a row that make it contaminated, however long the item is.
+RUN = 13
 #: Windows of the benchmark up to which the bitmap is made; it has 2**22 to 2**28 bits, 256 a window between them.
 BITMAP_WINDOWS = 4_000_000
 
@@ -55,7 +60,7 @@ def _strip(piece: str) -> tuple[str, bool]:
 
 
 def describe(piece: str) -> tuple[int, int, str]:
-    """(hash of the literal, flags, value) of a piece."""
+    """(hash of the literal, flags, value) of a piece; numbers have no literal."""
     core, ends = _strip(piece)
     flags = ENDS * ends
     if not core:
@@ -74,7 +79,7 @@ def describe(piece: str) -> tuple[int, int, str]:
 class Windows:
     """Canonical words of a block of texts and the hashes of their windows."""
 
-    def __init__(self, texts: pa.Array, size: int = WINDOW, whole: bool = False):
+    def __init__(self, texts: pa.Array):
         distinct, at, offsets = pieces.cut(texts, lines=True)
         seen = [describe(p) for p in distinct]
         literal = np.array([s[0] for s in seen], dtype=np.uint64)[at] if len(at) else np.zeros(0, np.uint64)
@@ -97,43 +102,81 @@ class Windows:
         codes = np.where(self.slot == 0, literal, codes)
         self.values = [s[2] for s in seen]
         self.first = np.searchsorted(doc, np.arange(len(texts) + 1))
-        self.size = size
+        self.doc, self.codes, self.literal, self.starts = doc, codes, literal, starts
+
+    def words(self) -> np.ndarray:
+        """A hash of each word or number as it stands."""
+        own = np.array([xxhash.xxh64_intdigest(f"\1{v}".encode("utf-8", "surrogatepass")) for v in self.values], dtype=np.uint64)
+        return own[self.piece] if len(self.piece) else np.zeros(0, np.uint64)
+
+    def hashes(self, codes: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The hashes of all runs of `size` codes, how many literals each holds, and where those lie that are within one text."""
         n = max(0, len(codes) - size + 1)
-        power = np.array([pow(_BASE, k, 1 << 64) for k in range(size)], dtype=np.uint64)
-        h = np.zeros(n, dtype=np.uint64)
+        h = np.full(n, salt, dtype=np.uint64)
         literals = np.zeros(n, dtype=np.int64)
         for k in range(size):
-            h += codes[k : k + n] * power[k]
+            h += codes[k : k + n] * np.uint64(pow(_BASE, k, 1 << 64))
             literals += self.slot[k : k + n] == 0
-        self.hash = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        good = (literals >= min(LITERALS, size)) & (doc[:n] == doc[size - 1 :][:n]) if n else np.zeros(0, bool)
-        self.at = np.flatnonzero(good)
-        self.doc = doc
-
-    def slots(self, at: int) -> list[str]:
+        good = self.doc[:n] == self.doc[size - 1 :][:n] if n else np.zeros(0, bool)
+        if size < LITERALS and n:  # a sentence or line of its own
+            good = good & self.starts[:n] & np.concatenate([self.starts, [True]])[size : size + n]
+        return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), literals, np.flatnonzero(good)
+
+    def templates(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of the canonical windows with enough literals."""
+        # shorter windows are salted with their size, and windows of words differ from all of them
+        h, literals, at = self.hashes(self.codes, size, 0 if size == WINDOW else size)
+        at = at[literals[at] >= min(LITERALS, size)]
+        return h[at], at
+
+    def verbatim(self, size: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes and places of the windows of words and numbers as they stand."""
+        h, _, at = self.hashes(self.words(), size, 1000 + size)
+        return h[at], at
+
+    def slots(self, at: int, size: int) -> list[str]:
         """The typed values in a window, in order."""
-        return [f"{self.slot[k]}:{self.values[self.piece[k]]}" for k in range(at, at + self.size) if self.slot[k]]
+        return [f"{self.slot[k]}:{self.values[self.piece[k]]}" for k in range(at, at + size) if self.slot[k]]
 
 
-def _window_rows(found: Windows, keep: np.ndarray):
-    return found.hash[keep].view(np.int64), (keep - found.first[found.doc[keep]]).astype(np.int64), [found.slots(k) for k in keep.tolist()]
+def _window_rows(found: Windows, kinds: list[tuple[int, bool]], wanted=None):
+    """(hash, text, place, slots) of the windows of those (size, verbatim) that wanted, a test of hashes, lets through."""
+    wh, keep, slots = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], []
+    for size, plain in kinds:
+        h, at = found.verbatim(size) if plain else found.templates(size)
+        if wanted is not None:
+            on = wanted(h)
+            h, at = h[on], at[on]
+        wh.append(h)
+        keep.append(at)
+        slots += [[] if plain else found.slots(k, size) for k in at.tolist()]
+    at = np.concatenate(keep)
+    return np.concatenate(wh).view(np.int64), found.doc[at], (at - found.first[found.doc[at]]).astype(np.int64), slots
 
 
-def item_windows(items: DataFrame, id_col: str, text_col: str, size: int) -> DataFrame:
-    """wh, item_id, at, slots of every window of every item."""
+def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """wh, item_id, at, slots, size, verbatim of every window of every item; an item shorter than WINDOW is one window."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            done = 0
-            for block in pieces.blocks(batch.column(1)):
-                found = Windows(block, size)
-                wh, at, slots = _window_rows(found, found.at)
-                ids = batch.column(0).slice(done, len(block)).take(pa.array(found.doc[found.at]))
-                done += len(block)
-                yield pa.RecordBatch.from_arrays([pa.array(wh), ids, pa.array(at), pa.array(slots, pa.list_(pa.string()))], names=["wh", "item_id", "at", "slots"])
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = Windows(pa.array([text.as_py()], pa.string()))
+                size = min(WINDOW, len(found.codes))
+                if not size:
+                    continue
+                rows = []
+                for plain in (False, True):
+                    wh, _, at, slots = _window_rows(found, [(size, plain)])
+                    rows += [(w, a, x, plain) for w, a, x in zip(wh.tolist(), at.tolist(), slots, strict=True)]
+                dense = {a for _, a, _, plain in rows if not plain}
+                # whole windows with literals need no second hash
+                rows = [r for r in rows if not r[3] or size < WINDOW or r[1] not in dense]
+                columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([item] * len(rows), pa.int64()), pa.array([r[1] for r in rows], pa.int64())]
+                columns += [pa.array([r[2] for r in rows], pa.list_(pa.string())), pa.array([size] * len(rows), pa.int32()), pa.array([r[3] for r in rows], pa.bool_())]
+                yield pa.RecordBatch.from_arrays(columns, names=["wh", "item_id", "at", "slots", "size", "verbatim"])
 
     rows = items.select(F.col(id_col).cast("long").alias("item_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where("item_id is not null")
-    return rows.mapInArrow(run, "wh bigint, item_id bigint, at bigint, slots array<string>")
+    return rows.mapInArrow(run, "wh bigint, item_id bigint, at bigint, slots array<string>, size int, verbatim boolean")
 
 
 def bitmap_of(hashes: list[int]) -> tuple[np.ndarray, int]:
@@ -150,12 +193,14 @@ def contaminated(
     """doc_id, text_hash, item_id, windows (of the item), matched and overlap of every document and item that it holds.
 
     A document holds an item if windows that agree in their slots cover at least `share` of the
-    item's.  Items of fewer than WINDOW words or without a window of enough literals match nothing.
-    Null texts count as empty; a null item id is no item; rows equal in id and text are one document.
+    item's, or of those with enough literals, or RUN words of it in a row.  Null texts count as
+    empty; a null item id is no item; rows equal in id and text are one document.
     """
     work = Scratch(docs.sparkSession, "leaks")
-    wanted = work.save(item_windows(items, item_id_col, item_text_col, WINDOW), "items")
-    sizes = work.save(wanted.groupBy("item_id").agg(F.countDistinct("at").alias("windows")), "sizes")
+    wanted = work.save(item_windows(items, item_id_col, item_text_col), "items")
+    dense = F.countDistinct(F.when(~F.col("verbatim"), F.col("at")))
+    sizes = work.save(wanted.groupBy("item_id").agg(F.countDistinct("at").alias("windows"), dense.alias("dense")), "sizes")
+    kinds = [(r["size"], r["verbatim"]) for r in wanted.select("size", "verbatim").distinct().orderBy("size", "verbatim").collect()]  # at most 2 * WINDOW
     bitmap = shift = None
     if wanted.count() <= BITMAP_WINDOWS:
         bitmap, shift = bitmap_of([r.wh for r in wanted.select("wh").distinct().collect()])
@@ -164,16 +209,17 @@ def contaminated(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         on = shared.value
+
+        def known(h: np.ndarray) -> np.ndarray:
+            bit = (h >> np.uint64(shift)).astype(np.int64)
+            return (on[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1
+
         for batch in batches:
             done = 0
             for block in pieces.blocks(batch.column(2)):
-                found = Windows(block, WINDOW)
-                keep = found.at
-                if on is not None:
-                    bit = (found.hash[keep] >> np.uint64(shift)).astype(np.int64)
-                    keep = keep[(on[bit >> 3] >> (bit & 7).astype(np.uint8)) & 1 == 1]
-                wh, at, slots = _window_rows(found, keep)
-                rows = pa.array(found.doc[keep])
+                found = Windows(block)
+                wh, doc, at, slots = _window_rows(found, kinds, None if on is None else known)
+                rows = pa.array(doc)
                 ids, hashes = (batch.column(k).slice(done, len(block)).take(rows) for k in (0, 1))
                 done += len(block)
                 yield pa.RecordBatch.from_arrays([ids, hashes, pa.array(wh), pa.array(at), pa.array(slots, pa.list_(pa.string()))], names=["id", "text_hash", "wh", "pos", "values"])
@@ -183,15 +229,21 @@ def contaminated(
     found = work.save(rows.mapInArrow(run, f"id {kind}, text_hash bigint, wh bigint, pos bigint, values array<string>"), "windows")
     # a hash that two items share keeps both; slots that differ in type have another hash
     matched = found.join(wanted, "wh").select(
-        "id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", F.arrays_zip(F.col("slots").alias("i"), F.col("values").alias("d")).alias("pairs")
+        "id", "text_hash", "item_id", (F.col("pos") - F.col("at")).alias("shift"), "at", (~F.col("verbatim")).alias("dense"), F.arrays_zip(F.col("slots").alias("i"), F.col("values").alias("d")).alias("pairs")
     )
-    lined = matched.groupBy("id", "text_hash", "item_id", "shift").agg(F.collect_set(F.struct("at", "pairs")).alias("found"))
+    lined = matched.groupBy("id", "text_hash", "item_id", "shift").agg(F.collect_set(F.struct("at", "dense", "pairs")).alias("found"))
     pairs = F.array_distinct(F.flatten(F.col("found.pairs")))
     lined = lined.withColumn("pairs", pairs).withColumn("torn", F.expr("filter(array_distinct(pairs.i), v -> size(filter(pairs, p -> p.i = v)) > 1)"))
     agreed = F.expr("filter(found, w -> forall(w.pairs, p -> p.i = p.d) or not arrays_overlap(w.pairs.i, torn))")
-    same = lined.select("id", "text_hash", "item_id", "shift", agreed["at"].alias("ats")).where(F.size("ats") > 0)
-    held = same.groupBy("id", "text_hash", "item_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("matched"))
-    held = held.join(sizes, "item_id").withColumn("overlap", F.col("matched") / F.col("windows")).where(F.col("overlap") >= share)
+    same = lined.withColumn("agreed", agreed).where(F.size("agreed") > 0)
+    # (last place, windows in a row up to it, most in a row), over the places in order
+    row = """aggregate(array_sort(array_distinct(agreed.at)), (-9L, 0L, 0L), (s, x) -> (x, if(x = s.col1 + 1, s.col2 + 1, 1L), greatest(s.col3, if(x = s.col1 + 1, s.col2 + 1, 1L)))).col3"""
+    same = same.select("id", "text_hash", "item_id", "agreed", F.expr(row).alias("row"))
+    some = F.array_distinct(F.flatten(F.collect_list(F.col("agreed.at"))))
+    literal = F.array_distinct(F.flatten(F.collect_list(F.expr("filter(agreed, w -> w.dense).at"))))
+    held = same.groupBy("id", "text_hash", "item_id").agg(F.size(some).alias("matched"), F.size(literal).alias("literal"), F.max("row").alias("row")).join(sizes, "item_id")
+    held = held.withColumn("overlap", F.greatest(F.col("matched") / F.col("windows"), F.when(F.col("dense") > 0, F.col("literal") / F.col("dense"))))
+    held = held.where((F.col("overlap") >= share) | (F.col("row") >= RUN - WINDOW + 1))
     return held.select(F.col("id").alias(id_col), "text_hash", "item_id", F.col("windows").cast("long").alias("windows"), F.col("matched").cast("long").alias("matched"), "overlap")
 
 

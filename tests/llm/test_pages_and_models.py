@@ -216,6 +216,19 @@ def test_a_conflict_drops_only_its_windows(spark):
     assert {d: (r.windows, r.matched) for d, r in found.items()} == {1: (29, 24), 2: (29, 24)}
 
 
+def test_long_runs_short_items_and_numbers(spark):
+    long = " ".join(f"word{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(60))
+    run = lambda n: "before that " + " ".join(long.split()[20 : 20 + n]) + " and after"
+    sums = "What is 3 + 4 + 12 + 7 + 19 + 2 + 6 + 88?"
+    items = spark.createDataFrame([(1, long), (2, "Paris is the capital of France"), (3, sums), (4, "Too short")], "item_id bigint, text string")
+    docs = [
+        (1, run(13)), (2, run(12)), (3, "Everyone knows Paris is the capital of France today"), (4, "Everyone knows that Rome is the capital of Italy"), (5, f"So: {sums} Well"),
+        (6, "So: What is 3 + 4 + 12 + 8 + 20 + 2 + 6 + 88?"), (7, "That was too short for them"), (8, "Well.\nToo short!\nYes."), (9, "1 2 3 4 5 6 7 8 9 10"), (10, "the capital of France"),
+    ]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert got == {(1, 1), (3, 2), (5, 3), (8, 4)}
+
+
 def test_contaminated_is_brute_force(spark):
     def words(t):
         return [w for w in (re.sub(r"^\W+|\W+$", "", x).lower() for x in t.split()) if w]
