@@ -8,6 +8,8 @@ stores bit planes vertically, adds many differences at once into carry-save coun
 abandons the words in which every distance is beyond the radius.  Comparisons give a star per
 local component, never all pairs; components are found by label propagation with pointer jumping.
 Keys with many fingerprints are cut into chunks, and every pair of chunks is a unit of its own.
+Where a Jaccard similarity is asked for, fingerprints carry a digest of their shingle set, comparisons
+give all pairs, and only pairs whose sets are that similar become edges.
 """
 
 from __future__ import annotations
@@ -62,8 +64,11 @@ def _counts(h: np.ndarray) -> np.ndarray:
 def fingerprint(text: str, words: int, bits: int = 64, distinct: bool = False) -> bytes:
     """bits / 64 words, big-endian.  A bit is set if over half of the shingles' hashes set it; zero without words."""
     h = shingle_hashes(text, words)
-    if distinct:
-        h = np.unique(h)
+    return fold(np.unique(h) if distinct else h, bits)
+
+
+def fold(h: np.ndarray, bits: int) -> bytes:
+    """The fingerprint of shingle hashes."""
     out = []
     for k in range(bits // 64):
         if k:  # further hashes of a shingle, by a mixing step on its first
@@ -143,8 +148,11 @@ def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work: Scratch, chunk: int = CHUNK) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within the radius."""
+def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work: Scratch, chunk: int = CHUNK, pairs: bool = False) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within the radius.
+
+    pairs: every pair itself.  Bytes of fp beyond `bits` are not compared.
+    """
     n_bytes = bits // 8
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +160,7 @@ def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work:
             column = batch.column(0)
             if not len(column):
                 continue
-            on = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, n_bytes), axis=1)
+            on = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)[:, :n_bytes], axis=1)
             for t, positions in enumerate(tables):
                 key = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), column], names=["t", "key", "fp"])
@@ -163,10 +171,13 @@ def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work:
 
         def close(group: list[tuple]):
             fp = [x[1] for x in group]
-            on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(-1, n_bytes), axis=1)
+            on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)[:, :n_bytes], axis=1)
             a, b = group[0][0][2:4]
             left = np.array([x[2] == a for x in group]) if a != b else None
             i, j = close_pairs(on, radius, left)
+            if pairs:  # small keys lie together, so the same two may meet twice
+                both = {(min(fp[x], fp[y]), max(fp[x], fp[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if fp[x] != fp[y]}
+                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["a", "b"])
             root = local_roots(len(fp), i, j)
             at = np.flatnonzero(root != np.arange(len(fp)))
             return pa.RecordBatch.from_arrays(
@@ -216,6 +227,22 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
             return labels.select("node", "root")
 
 
+def similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float, work: Scratch) -> DataFrame:
+    """The edges whose shingle sets have at least that Jaccard similarity.  texts: fp, text of every node."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
+
+    sets = work.save(texts.select("fp", "text").mapInArrow(run, "fp binary, shingles array<bigint>"), "sets")
+    both = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    good = work.save(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "similar")
+    work.drop(sets)
+    return good
+
+
 def simhash_groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -225,20 +252,30 @@ def simhash_groups(
     radius: int = 2,
     tables: list[list[int]] | None = None,
     distinct: bool = False,
+    similarity: float | None = None,
 ) -> DataFrame:
     """Per row of docs: id, text_hash, fp (binary), component_id and first (whether the row leads its component).
 
     A null text counts as empty; a text without words has the fingerprint zero and links as any
     other.  component_id is the smallest id of the component (null ids count only if it has no
-    other), and the leading row is the one with the smallest id, then text hash.
+    other), and the leading row is the one with the smallest id, then text hash.  With a similarity,
+    pairs within the radius link only if their sets of shingles have that Jaccard similarity, and fp
+    ends in a digest of the set.
     """
     work = Scratch(docs.sparkSession, "simhash")
     if tables is None:
         tables = pigeonhole_tables(bits, radius, 2 * radius if radius > 1 else 2) if radius else [list(range(min(bits, 60)))]
 
+    def of(text: str) -> bytes:
+        if similarity is None:
+            return fingerprint(text, words, bits, distinct)
+        h = shingle_hashes(text, words)
+        own = np.unique(h)
+        return fold(own if distinct else h, bits) + xxhash.xxh64_digest(own.tobytes())
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [fingerprint(t.as_py(), words, bits, distinct) for t in batch.column(2)]
+            fp = [of(t.as_py()) for t in batch.column(2)]
             release()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["id", "text_hash", "fp"])
 
@@ -248,7 +285,14 @@ def simhash_groups(
     rows = work.save(rows.mapInArrow(scan, f"id {kind}, text_hash bigint, fp binary"), "fingerprints")
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     fps = work.save(rows.groupBy("fp").agg(lead.alias("lead")), "distinct")
-    roots = components(link(fps, bits, radius, tables, work), work)
+    edges = link(fps, bits, radius, tables, work, pairs=similarity is not None)
+    if similarity is not None:
+        nodes = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
+        leads = fps.join(nodes, "fp").select("fp", F.col("lead.id").alias("__id"), F.col("lead.text_hash").alias("__hash"))
+        full = docs.select(F.col(id_col).alias("id"), text.alias("text"))
+        texts = full.join(leads, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
+        edges = similar(edges, texts.dropDuplicates(["fp"]), words, similarity, work)
+    roots = components(edges, work)
     rooted = work.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")), "rooted")
     leads = work.save(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")
     whole = work.save(rooted.select("fp", "root").join(leads, "root").select("fp", "lead"), "whole")
@@ -257,9 +301,9 @@ def simhash_groups(
     return joined.select(F.col("id").alias(id_col), "text_hash", "fp", F.col("lead.id").alias("component_id"), first.alias("first"))
 
 
-#: The stage on five-word shingles: similarity, bits, the recall that its tables are laid out for, and by how many
-#: deviations the radius is beyond the mean distance of that similarity (95 % of such pairs are within it).
-SIMILARITY, STAGE_BITS, RECALL, DEVIATIONS = 0.8, 256, 0.99, 1.645
+#: The stage on five-word shingles: similarity, bits, the recall that its tables are laid out for at the radius, and by how
+#: many deviations the radius is beyond the mean distance of that similarity (99.5 % of such pairs are within it).
+SIMILARITY, STAGE_BITS, RECALL, DEVIATIONS = 0.8, 256, 0.99, 2.576
 
 
 def agreement(similarity: float) -> float:
@@ -270,15 +314,17 @@ def agreement(similarity: float) -> float:
 def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that lead their component, with all their columns.
 
-    Five-word shingles as a set, 256 bits; pairs link at the distance that a Jaccard similarity of
-    0.8 makes on average, plus DEVIATIONS of its spread.  Keys take as many bits as keep about 64 fingerprints
-    together, whatever the size of the table.
+    Five-word shingles as a set, 256 bits.  The radius, DEVIATIONS of its spread beyond the distance that a
+    Jaccard similarity of 0.8 makes on average, only finds candidates; pairs link if their sets are that similar.
+    Keys take as many bits as keep about 64 fingerprints together, whatever the size of the table.
     """
     agree = agreement(SIMILARITY)
     radius = round(STAGE_BITS * (1 - agree) + DEVIATIONS * math.sqrt(STAGE_BITS * agree * (1 - agree)))
     key_bits = max(12, round(math.log2(max(2, docs.count()))) - 6)
-    tables = sampled_tables(STAGE_BITS, key_bits, agree, RECALL)
-    groups = simhash_groups(docs, id_col, text_col, 5, STAGE_BITS, radius, tables, distinct=True)
+    # the bits of a key are drawn without replacement, so a pair at the radius shares a key less often than agree ** key_bits
+    at_radius = (math.comb(STAGE_BITS - radius, key_bits) / math.comb(STAGE_BITS, key_bits)) ** (1 / key_bits)
+    tables = sampled_tables(STAGE_BITS, key_bits, at_radius, RECALL)
+    groups = simhash_groups(docs, id_col, text_col, 5, STAGE_BITS, radius, tables, distinct=True, similarity=SIMILARITY)
     gone = groups.where(~F.col("first")).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
     return docs.join(gone, same, "left_anti")

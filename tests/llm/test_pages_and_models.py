@@ -262,6 +262,18 @@ def test_near_stage(spark, odd, empty):
     assert drop_near(odd).columns == odd.columns and drop_near(empty).count() == 0
 
 
+def test_near_stage_is_jaccard(spark):
+    def pair(k, tail):
+        words = [f"w{k}x{i}" for i in range(100)]
+        return " ".join(words), " ".join(words[: 100 - tail] + [f"v{k}x{i}" for i in range(tail)])
+
+    # of 96 shingles each, 86 of 106 are shared (0.811), and 84 of 108 (0.778)
+    rows = [(1000 * tail + 2 * k + j, t) for tail in (10, 12) for k in range(100) for j, t in enumerate(pair(k + 100 * tail, tail))]
+    kept = [r.doc_id for r in drop_near(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()]
+    assert sum(d >= 12000 for d in kept) == 200
+    assert sum(d < 12000 for d in kept) <= 102
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from paperloom.llm.common import table
