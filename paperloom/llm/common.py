@@ -6,6 +6,8 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,9 +19,11 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir; a new local one only where that is unset."""
+    """The folder that all executors share, from spark.checkpoint.dir; where that is unset, a new local one for a local master alone."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
         atexit.register(shutil.rmtree, found[7:], True)
         spark.conf.set("spark.checkpoint.dir", found)
@@ -38,14 +42,40 @@ def prepare(spark: SparkSession) -> None:
             spark.conf.set(key, value)
 
 
+#: Scratch folders by the scope that deletes them.
+_SCOPES: list[list[str]] = []
+
+
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the scratch folders that are made inside, at its end: what reads them must be written by then."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
 class Scratch:
-    """Written tables that cut lineage: a lost executor costs at most the step that ran."""
+    """Written tables that cut lineage: a lost executor costs at most the step that ran.
+
+    They stay until the scope around their making ends; without one, as long as their folder does,
+    since results read them lazily.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         prepare(spark)
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.n = 0
+        if _SCOPES:
+            _SCOPES[-1].append(self.root)
 
     def path(self, name: str) -> str:
         self.n += 1
@@ -61,10 +91,8 @@ class Scratch:
 
     def drop(self, *frames: DataFrame) -> None:
         """Deletes tables that nothing reads any more."""
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for df in frames:
-            path = jvm.org.apache.hadoop.fs.Path(df._scratch)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df._scratch)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +100,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(taken: Iterable[str], wanted: str) -> str:
+    """A column name like the wanted one that none of the taken ones clashes with."""
+    lower = {t.lower() for t in taken}
+    while wanted.lower() in lower:
+        wanted += "_"
+    return wanted
+
+
 def text_of(name: str = "text"):
     """Null counts as empty."""
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
