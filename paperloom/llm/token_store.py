@@ -33,8 +33,9 @@ from paperloom.llm.tokens import encoder
 MAGIC, VERSION, HEAD = b"TIDZ", 1, struct.Struct("<4sHHI32s")
 #: A block is closed at this many bytes of frames or documents.
 BLOCK_BYTES, BLOCK_DOCS = 1 << 20, 4096
-#: The dictionary is trained on the first rows Spark reads: so many documents and ids of each, and has so many bytes.
-SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 512, 4096, 64 << 10
+#: The dictionary is trained on so many documents, those with the lowest hashes of their ids, on a run of so many code
+#: points that begins anywhere in each; it has so many bytes.
+SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 512, 8192, 64 << 10
 BLOCK_SCHEMA = "part int, block int, start_in_part bigint, n_docs int, n_tokens bigint, first_doc bigint, last_doc bigint, payload binary"
 
 
@@ -102,14 +103,21 @@ def write_tokens(
 ) -> TokenStore:
     """Encodes every whole text (null: empty), appends end_id and writes a store at path.
 
-    vocabulary: a file of the tokenizers library; split: see PieceEncoder; width: bytes of an id.
-    Rows of one id stay in the order of their texts; rows without an id come first.
+    vocabulary: a file of the tokenizers library; split: see PieceEncoder; width: bytes of an id, which
+    must hold every id of the vocabulary.  Rows of one id, repeated rows too, lie together in the
+    order of a hash of their texts; rows without an id come first.  An empty table gives a store
+    without blocks.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    sample = [r.text for r in rows.select("text").limit(SAMPLE_DOCS).collect()]
+    model = encoder(vocabulary, split)
+    if max(model.top, end_id) >> (8 * width):
+        raise ValueError(f"{width} bytes do not hold the ids of this vocabulary")
+    at = 1 + F.pmod(F.xxhash64(F.lit(1), "id"), F.greatest(F.char_length("text") - SAMPLE_CHARS + 1, F.lit(1)).cast("long"))
+    runs = rows.select(F.xxhash64("id").alias("h"), F.substring("text", at.cast("int"), F.lit(SAMPLE_CHARS)).alias("run"))
+    sample = [r.run for r in runs.orderBy("h", "run").limit(SAMPLE_DOCS).collect()]
     kind = f"<u{width}"
-    samples = [ids[:SAMPLE_IDS].astype(kind).tobytes() for ids in encoder(vocabulary, split).encode(pa.array(sample, pa.string()))]
+    samples = [ids.astype(kind).tobytes() for ids in model.encode(pa.array(sample, pa.string()))]
     dictionary = train_dictionary(samples)
     meta = [(hashlib.sha256(dictionary).hexdigest(), bytearray(dictionary), width, end_id)]
     spark.createDataFrame(meta, "sha256 string, bytes binary, width int, end_id long").coalesce(1).write.parquet(f"{path}/dictionary")
@@ -140,7 +148,7 @@ def write_tokens(
         if held:
             yield close()
 
-    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", "text")
+    ordered = rows.repartitionByRange("id", F.xxhash64("text")).sortWithinPartitions("id", F.xxhash64("text"), "text")
     ordered.mapInArrow(blocks, BLOCK_SCHEMA).write.parquet(f"{path}/blocks")
     return TokenStore(spark, path)
 

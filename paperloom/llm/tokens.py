@@ -28,7 +28,7 @@ _WIDE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\
 _ODD = r"\x{1C}-\x{1F}\x00"
 _UNSAFE = {
     "spaces": rf"<\||[{_ODD}]|[\x09-\x0D {_WIDE}][\x09-\x0D {_WIDE}]|^[\x09-\x0D {_WIDE}]|[\x09-\x0D {_WIDE}]$",
-    "words": rf"<\||[{_ODD}]|[{_WIDE}\x0B\x0C]",
+    "words": rf"<\||[{_ODD}]|[{_WIDE}\x0B\x0C\x{{130}}]",  # U+0130 is the one letter whose lower case ends in a mark
 }
 #: A word and the punctuation behind it are separate tokens in both patterns; an apostrophe may begin a contraction.
 _TAIL = r"(\pL)([!-&(-/:-@\[-`{-~]+)"
@@ -49,6 +49,7 @@ class PieceEncoder:
 
         self.model = Tokenizer.from_file(path)
         self.bare = Tokenizer(self.model.model)  # merges only, for pieces that are one token run of ASCII
+        self.top = max(self.model.get_vocab(with_added_tokens=True).values(), default=0)
         self.split = split
         self.cache: dict[str, bytes] = {}
 
