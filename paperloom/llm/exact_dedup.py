@@ -4,8 +4,9 @@ The first digit of a text is its length with its first bytes; each later digit i
 bytes, sixteen times as wide as the one before.  A round counts the rows of each (group, digit),
 gives every digit that several rows share a new group, and ends the rows that are alone.  Bytes
 are compared as bytes: no digest decides equality.  Counting combines on the map side, so a group
-that holds a third of all rows costs one row per task there; the join back is a plain equi-join
-against a table of distinct keys, which adaptive execution splits when one key is hot.
+that holds a third of all rows costs one row per task there; the join back is a sorted equi-join
+against the keys that several rows share, which spills and which adaptive execution splits when
+one key is hot.
 """
 
 from __future__ import annotations
@@ -48,18 +49,14 @@ def exact_groups(
         digit = F.substring("rest", 1, width)
         keyed = state.withColumn("digit", digit)
         newest = F.lit(None).cast(f"struct<id:{docs.schema[id_col].dataType.simpleString()},rid:bigint>") if first else F.max(F.struct("id", "rid"))
-        groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("n"), newest.alias("newest"))
-        if first:
-            groups = groups.where("n > 1")
+        groups = keyed.groupBy("gid", "digit").agg(F.count("*").alias("n"), newest.alias("newest")).where("n > 1")
         groups = work.save(groups.withColumn("new_gid", F.monotonically_increasing_id()), "groups")
-        # the same shuffled join at every size: its cost follows the input, and a hot key can be split
-        joined = keyed.join(groups.hint("shuffle_hash"), ["gid", "digit"], "left")
+        # the same sorted join at every size: it spills, its cost follows the input, and a hot key can be split
+        joined = keyed.join(groups.hint("merge"), ["gid", "digit"], "left")
         if first:
             joined = joined.withColumn("rid", F.monotonically_increasing_id())
-            alone = F.col("n").isNull()
-        else:
-            alone = F.lit(False)
-        done = alone | (F.col("n") == 1) | (F.octet_length("rest") <= width if not first else F.lit(False))
+        # rows of the first round have no number yet, so a group of theirs ends in the second one at the earliest
+        done = F.col("n").isNull() if first else F.col("n").isNull() | (F.octet_length("rest") <= width)
         left = F.when(~done, F.expr(f"substring(rest, {width + 1})"))
         out = work.save(
             joined.select(
