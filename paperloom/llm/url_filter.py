@@ -15,7 +15,8 @@ from paperloom.llm.line_dedup import LOWER, UPPER
 
 #: (verdict, rule) of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-DAMPING, STEPS, TOLERANCE = 0.85, 30, 1e-9
+#: Steps end when the scores change by less than the tolerance in sum; each step shrinks the change by the damping.
+DAMPING, TOLERANCE = 0.85, 1e-6
 #: A host is a seed if this share of its pages is allowed, or blocked by rules of whole hosts (a rule of one folder does
 #: not speak for the host); it is blocked if distrust is over the second share of both scores.
 SEED_SHARE, BLOCK_SHARE = 0.5, 0.5
@@ -40,8 +41,11 @@ def best_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
     return rule, verdict
 
 
-def spread(links: DataFrame, seeds: DataFrame, work: Scratch) -> DataFrame:
-    """(host, trust, distrust).  links: src, dst, weight between different hosts; seeds: host, kind (allow or block)."""
+def spread(links: DataFrame, seeds: DataFrame, work: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
+    """(host, trust, distrust).  links: src, dst, weight between different hosts; seeds: host, kind (allow or block).
+
+    Scores of a kind sum to one: what hosts without a way on hold goes back to the seeds.
+    """
     total = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
     start = seeds.select("kind", "host", F.when(F.col("kind") == "allow", F.lit(1.0 / total.get("allow", 1))).otherwise(F.lit(1.0 / total.get("block", 1))).alias("score"))
     start = work.save(start, "seeds")
@@ -51,17 +55,18 @@ def spread(links: DataFrame, seeds: DataFrame, work: Scratch) -> DataFrame:
     ways = work.save(ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("share")), "ways")
     scores = start
     if not ways.isEmpty():
-        for _ in range(STEPS):
+        while True:
             moved = ways.join(scores, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
-            given = start.select("kind", "host", ((1 - DAMPING) * F.col("score")).alias("score"))
-            new = moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-            new = work.save(new, "scores")
+            moved = work.save(moved, "moved")
+            sent = {r["kind"]: r["n"] for r in moved.groupBy("kind").agg(F.sum("score").alias("n")).collect()}  # two rows
+            back = F.when(F.col("kind") == "allow", 1.0 - sent.get("allow", 0.0)).otherwise(1.0 - sent.get("block", 0.0))
+            given = start.select("kind", "host", (back * F.col("score")).alias("score"))
+            new = work.save(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
             before = scores.select("kind", "host", F.col("score").alias("was"))
             change = new.join(before, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).collect()[0][0]
-            if scores is not start:
-                work.drop(scores)
+            work.drop(moved, *([scores] if scores is not start else []))
             scores = new
-            if (change or 0) < TOLERANCE:
+            if (change or 0) < tolerance:
                 break
     part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
     return scores.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
@@ -71,6 +76,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     """id, host, path, rule and verdict of every row, in one of the words allow and block.
 
     Hosts without any score are allowed, as are urls without a host.  A null html has no links.
+    Repeated rows each give a row and weigh in the links as often; an empty table gives an empty result.
     """
     work = Scratch(pages.sparkSession, "urls")
     host, path = host_and_path(F.col(url_col))
