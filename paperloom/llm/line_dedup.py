@@ -31,8 +31,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Per row of docs: id, n_lines, n_dropped and kept_text.
 
     Lines end at line feeds; a null or empty text is one empty line.  Keys of at least min_length
-    code points that at least min_docs rows hold lose all their lines.  Lines that stay are joined
-    by line feeds; kept_text is empty if none stays.  An empty table gives an empty result.
+    code points that at least min_docs documents hold lose all their lines.  Documents are told
+    apart by their ids: rows that repeat an id count once, and rows without an id are one document.
+    Lines that stay are joined by line feeds; kept_text is empty if none stays.  Every row gives a
+    row, repeated ones too.  An empty table gives an empty result.
     """
     work = Scratch(docs.sparkSession, "lines")
     text = F.coalesce(F.col(text_col), F.lit(""))
@@ -40,12 +42,11 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         F.col(id_col).alias("id"), F.xxhash64(id_col, text).alias("k1"), F.xxhash64(F.lit(1), id_col, text).alias("k2"), text.alias("text")
     )
     lines = base.select("k1", "k2", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-    keyed = base.select(F.transform(F.split("text", "\n", -1), line_key).alias("keys"))
-    once = keyed.select(F.explode(F.array_distinct(F.filter("keys", lambda k: F.char_length(k) >= min_length))).alias("key"))
-    frequent = work.save(
-        once.select(_hashes(F.col("key")).alias("h")).groupBy("h.h1", "h.h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"),
-        "frequent",
-    )
+    keyed = base.select("id", F.transform(F.split("text", "\n", -1), line_key).alias("keys"))
+    once = keyed.select("id", F.explode(F.array_distinct(F.filter("keys", lambda k: F.char_length(k) >= min_length))).alias("key"))
+    # a hot key is spread by document first, and counted where it lies
+    once = once.select("id", _hashes(F.col("key")).alias("h")).select("id", "h.h1", "h.h2").distinct()
+    frequent = work.save(once.groupBy("h1", "h2").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("h1", "h2"), "frequent")
     marked = lines.withColumn("key", line_key(F.col("line"))).where(F.char_length("key") >= min_length)
     marked = marked.select("k1", "k2", "pos", _hashes(F.col("key")).alias("h")).select("k1", "k2", "pos", "h.h1", "h.h2")
     drops = work.save(
