@@ -1,15 +1,14 @@
 """SimHash near-duplicates: exact linking within a radius, by bit-sliced comparison.
 
-Distinct fingerprints are keyed by selected bits into tables, counted per key, and compared only
-within a key.  For a small radius the tables are complete by the pigeonhole principle: of `blocks`
-equal blocks at most `radius` can differ, so some choice of blocks - radius of them agrees.  For a
-large radius they are chosen bits, as many tables as the wanted recall asks for.  A comparison
-stores bit planes vertically, adds many differences at once into carry-save counters, and
-abandons the words in which every distance is beyond the radius.  Comparisons give a star per
-local component, never all pairs; components are found by label propagation with pointer jumping.
-Keys with many fingerprints are cut into chunks, and every pair of chunks is a unit of its own.
-Where a Jaccard similarity is asked for, fingerprints carry a digest of their shingle set, comparisons
-give all pairs, and only pairs whose sets are that similar become edges.
+Distinct fingerprints are keyed by selected bits into tables and compared only within a key.  For a
+small radius the tables are complete by the pigeonhole principle: of equal blocks at most `radius`
+can differ, so some choice of the others agrees.  For a large radius they are chosen bits, as many
+tables as the wanted recall asks for.  A comparison stores bit planes vertically, adds many
+differences at once into carry-save counters, and abandons the words in which every distance is
+beyond the radius.  Comparisons give a star per local component, never all pairs; components are
+found by label propagation with pointer jumping.  Keys with many fingerprints are keyed anew by
+their remaining bits or cut into chunks, and every pair of chunks is a unit of its own.  The stage
+of the pipeline takes such components as candidates and links by exact Jaccard similarity.
 """
 
 from __future__ import annotations
@@ -29,8 +28,8 @@ from paperloom.llm.pieces import release
 
 #: A-Z to a-z; other bytes stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-#: Fingerprints of a key that are compared as one unit, and small keys compared together.
-CHUNK, TOGETHER = 2048, 256
+#: Fingerprints of a key that are compared as one unit, and rows of small keys that are compared at a time.
+CHUNK, TOGETHER = 2048, 1 << 14
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 _LANES = np.uint64(0x0101010101010101)
 
@@ -79,46 +78,64 @@ def fold(h: np.ndarray, bits: int) -> bytes:
     return b"".join(out)
 
 
-def pigeonhole_tables(bits: int, radius: int, blocks: int) -> list[list[int]]:
-    """Bit positions of each table: every choice of blocks - radius of the blocks."""
-    width = bits // blocks
-    cut = [list(range(b * width, (b + 1) * width)) for b in range(blocks)]
+def pigeonhole_tables(positions: list[int], radius: int) -> list[list[int]]:
+    """Keys among bit positions of which two that differ in at most radius of them share one: twice as many blocks as
+    may differ (two at least), and every choice of the blocks that then must agree."""
+    blocks = max(2, 2 * radius)
+    cut = [x.tolist() for x in np.array_split(np.array(positions), blocks)]
     return [sum(x, []) for x in itertools.combinations(cut, blocks - radius)]
 
 
-def sampled_tables(bits: int, key_bits: int, agree: float, recall: float) -> list[list[int]]:
-    """As many keys of chosen bits as find, with probability `recall`, a pair whose bits agree with probability `agree`."""
-    n = math.ceil(math.log(1 - recall) / math.log(1 - agree**key_bits))
+def share_of_pairs(similarity: float, bits: int, key_bits: int, tables: int, radius: int) -> float:
+    """The share of pairs of exactly that Jaccard similarity that lie within the radius and share one of the sampled keys."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    total = 0.0
+    for d in range(radius + 1):
+        one = math.comb(bits - d, key_bits) / math.comb(bits, key_bits)
+        total += math.comb(bits, d) * p**d * (1 - p) ** (bits - d) * (1 - (1 - one) ** tables)
+    return total
+
+
+def sampled_tables(bits: int, key_bits: int, n: int) -> list[list[int]]:
+    """Keys of chosen bits."""
     rng = np.random.default_rng(20_240_501)
     return [sorted(rng.choice(bits, size=key_bits, replace=False).tolist()) for _ in range(n)]
 
 
-def close_pairs(bits: np.ndarray, radius: int, left: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+_BELOW = np.array([(1 << n) - 1 for n in range(65)], dtype=np.uint64)
+
+
+def close_pairs(bits: np.ndarray, radius: int, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """All pairs i < j of rows of a 0/1 matrix that differ in at most radius columns.
 
-    left: a flag per row; then only pairs of a flagged and an unflagged row count.
+    begin, end: the rows that a row is compared with, all later ones by default.
     """
     m, nb = bits.shape
     words = (m + 63) // 64
+    columns = np.ascontiguousarray(bits.T)
     planes = np.zeros((nb, words * 8), dtype=np.uint8)
-    packed = np.packbits(bits.T, axis=1, bitorder="little")
+    packed = np.packbits(columns, axis=1, bitorder="little")
     planes[:, : packed.shape[1]] = packed
     planes = planes.view(np.uint64)
-    own = np.where(bits.T != 0, _ONES, np.uint64(0))
     rows = np.arange(m)
-    q, w = np.nonzero(np.arange(words)[None, :] >= (rows // 64)[:, None])
+    begin = rows + 1 if begin is None else np.maximum(begin, rows + 1)
+    end = np.full(m, m) if end is None else end
+    n = np.where(begin < end, (end - 1) // 64 - begin // 64 + 1, 0)
+    q = np.repeat(rows, n)
+    w = np.arange(len(q)) - np.repeat(np.cumsum(n) - n, n) + (begin // 64)[q]
+    # a lane that is no partner is beyond the radius from the start
+    over = ~(_BELOW[np.clip(end[q] - 64 * w, 0, 64)] & ~_BELOW[np.clip(begin[q] - 64 * w, 0, 64)])
     k = radius.bit_length()
     first = (1 << k) - 1 - radius  # so that a distance beyond the radius carries out of the k counters
     counters = [np.full(len(q), _ONES if first >> b & 1 else 0, dtype=np.uint64) for b in range(k)]
-    over = np.zeros(len(q), dtype=np.uint64)
     for b in range(nb):
-        x = planes[b][w] ^ own[b][q]
+        x = planes[b][w] ^ np.negative(columns[b].astype(np.uint64))[q]
         for c in counters:
             carry = c & x
             c ^= x
             x = carry
         over |= x
-        if b % 8 == 7 and b >= 2 * radius:
+        if b % 8 == 7 and b >= radius:
             alive = over != _ONES
             if alive.sum() < 0.75 * len(alive):
                 q, w, over = q[alive], w[alive], over[alive]
@@ -127,11 +144,7 @@ def close_pairs(bits: np.ndarray, radius: int, left: np.ndarray | None = None) -
     some = np.flatnonzero(hit)
     lane = np.unpackbits(hit[some].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
     at, bit = np.nonzero(lane)
-    i, j = q[some][at], w[some][at] * 64 + bit
-    good = (j > i) & (j < m)
-    if left is not None:
-        good &= left[i] != left[np.minimum(j, m - 1)]
-    return i[good], j[good]
+    return q[some][at], w[some][at] * 64 + bit
 
 
 def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -148,66 +161,96 @@ def local_roots(m: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         label = new
 
 
-def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work: Scratch, chunk: int = CHUNK, pairs: bool = False) -> DataFrame:
-    """Edges (a, b) between distinct fingerprints (column fp) whose components are those of all pairs within the radius.
+def _planes(fp: list[bytes], bits: int) -> np.ndarray:
+    """A 0/1 matrix of the first bits of fingerprints of equal length."""
+    return np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)[:, : bits // 8], axis=1)
 
-    pairs: every pair itself.  Bytes of fp beyond `bits` are not compared.
-    """
-    n_bytes = bits // 8
 
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            column = batch.column(0)
-            if not len(column):
-                continue
-            on = np.unpackbits(np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)[:, :n_bytes], axis=1)
+def _keys(batches: Iterator[pa.RecordBatch], bits: int, tables: list[list[int]], deeper: list[list[list[int]]] | None = None) -> Iterator[pa.RecordBatch]:
+    """t, key, fp of each fingerprint in every table; deeper: of (t, key, fp) in the tables below its own."""
+    for batch in batches:
+        fp = batch.column(batch.num_columns - 1)
+        if not len(fp):
+            continue
+        on = _planes(fp.to_pylist(), bits).astype(np.int64)
+        if deeper is None:
             for t, positions in enumerate(tables):
-                key = on[:, positions].astype(np.int64) @ (1 << np.arange(len(positions), dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), column], names=["t", "key", "fp"])
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-        n_held, unit = 0, None
-
-        def close(group: list[tuple]):
-            fp = [x[1] for x in group]
-            on = np.unpackbits(np.frombuffer(b"".join(fp), np.uint8).reshape(len(fp), -1)[:, :n_bytes], axis=1)
-            a, b = group[0][0][2:4]
-            left = np.array([x[2] == a for x in group]) if a != b else None
-            i, j = close_pairs(on, radius, left)
-            if pairs:  # small keys lie together, so the same two may meet twice
-                both = {(min(fp[x], fp[y]), max(fp[x], fp[y])) for x, y in zip(i.tolist(), j.tolist(), strict=True) if fp[x] != fp[y]}
-                return pa.RecordBatch.from_arrays([pa.array([x for x, _ in both], pa.binary()), pa.array([y for _, y in both], pa.binary())], names=["a", "b"])
-            root = local_roots(len(fp), i, j)
-            at = np.flatnonzero(root != np.arange(len(fp)))
-            return pa.RecordBatch.from_arrays(
-                [pa.array([fp[x] for x in at], pa.binary()), pa.array([fp[x] for x in root[at]], pa.binary())], names=["a", "b"]
-            )
-
-        for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                now = row[:4]
-                # whole keys are compared together while they are small; a pair of chunks stands alone
-                if held and now != unit and (n_held >= TOGETHER or now[2] != now[3] or unit[2] != unit[3]):
-                    if n_held > 1:
-                        yield close(held)
-                    held, n_held = [], 0
-                held.append((now, row[4], row[5]))
-                n_held, unit = n_held + 1, now
-        if n_held > 1:
-            yield close(held)
-
-    keyed = fps.select("fp").mapInArrow(keys, "t int, key bigint, fp binary")
-    keyed = work.save(keyed, "keys")
-    many = work.save(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
-    joined = keyed.join(many, ["t", "key"]).withColumn("c", F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int"))
-    units = joined.withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1)))
-    units = units.select("t", "key", F.least("c", "j").alias("u"), F.greatest("c", "j").alias("v"), "fp", "c")
-    parts = units.repartition("t", "key", "u", "v").sortWithinPartitions("t", "key", "u", "v", "fp")
-    edges = work.save(parts.mapInArrow(compare, "a binary, b binary").distinct(), "edges")
-    work.drop(keyed, many)
-    return edges
+                key = on[:, positions] @ (1 << np.arange(len(positions), dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(key), t, np.int32)), pa.array(key), fp], names=["t", "key", "fp"])
+            continue
+        own, above = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
+        number = len(tables)
+        for t, below in enumerate(deeper):
+            at = np.flatnonzero(own == t)
+            for positions in below:
+                if len(at):
+                    key = on[at][:, positions] @ (1 << np.arange(len(positions), dtype=np.int64))
+                    key = (above[at] << len(positions)) | key
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), number, np.int32)), pa.array(key), fp.take(pa.array(at))], names=["t", "key", "fp"])
+                number += 1
+
+
+def _compare(batches: Iterator[pa.RecordBatch], bits: int, radius: int) -> Iterator[pa.RecordBatch]:
+    """Stars of local components from rows t, key, u, v, c, fp in order; many units are compared at a time, each within itself."""
+    held: list[pa.RecordBatch] = []
+
+    def close(rows: pa.Table):
+        unit = np.stack([rows.column(k).to_numpy() for k in range(4)])
+        starts = np.flatnonzero(np.concatenate([[True], (unit[:, 1:] != unit[:, :-1]).any(axis=0)]))
+        ends = np.concatenate([starts[1:], [rows.num_rows]])
+        of = np.repeat(np.arange(len(starts)), ends - starts)
+        begin, end = np.arange(rows.num_rows) + 1, ends[of]
+        # of two chunks, the first one's rows meet the second one's alone
+        right = unit[3] == rows.column(4).to_numpy()
+        cross = unit[2] != unit[3]
+        n_left = np.add.reduceat((~right).astype(np.int64), starts)
+        begin = np.where(cross, (starts + n_left)[of], begin)
+        end = np.where(cross & right, 0, end)
+        fp = rows.column(5).to_pylist()
+        i, j = close_pairs(_planes(fp, bits), radius, begin, end)
+        root = local_roots(len(fp), i, j)
+        at = np.flatnonzero(root != np.arange(len(fp)))
+        return pa.RecordBatch.from_arrays([pa.array([fp[x] for x in at], pa.binary()), pa.array([fp[x] for x in root[at]], pa.binary())], names=["a", "b"])
+
+    def cut(rows: pa.Table) -> int:
+        """Where the last unit begins."""
+        last = np.stack([rows.column(k).to_numpy() for k in range(4)])
+        other = np.flatnonzero((last != last[:, -1:]).any(axis=0))
+        return int(other[-1]) + 1 if len(other) else 0
+
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TOGETHER:
+            rows = pa.Table.from_batches(held)
+            at = cut(rows)
+            if at:
+                yield close(rows.slice(0, at))
+            held = rows.slice(at).combine_chunks().to_batches()
+    if held and sum(b.num_rows for b in held):
+        yield close(pa.Table.from_batches(held))
+
+
+def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work: Scratch, chunk: int = CHUNK, complete: bool = False) -> DataFrame:
+    """Edges (a, b) between distinct fingerprints (column fp): stars whose components are those of all pairs that lie
+    within the radius and share a key.  Bytes of fp beyond `bits` are not compared.
+
+    Keys of more than `chunk` fingerprints are cut into chunks, and every pair of chunks is a unit.
+    complete: the tables miss no pair; then keys of that size are first keyed anew by the bits that
+    they leave, which misses none either.
+    """
+    keyed = fps.select("fp").mapInArrow(lambda b: _keys(b, bits, tables), "t int, key bigint, fp binary")
+    hot = lambda rows, name: work.save(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk), name)
+    rows = keyed.join(hot(keyed, "hot"), ["t", "key"], "left")
+    if complete:
+        deeper = [pigeonhole_tables(sorted(set(range(bits)) - set(own)), radius) for own in tables]
+        below = rows.where("n is not null").select("t", "key", "fp").mapInArrow(lambda b: _keys(b, bits, tables, deeper), "t int, key bigint, fp binary")
+        below = work.save(below, "below")
+        rows = rows.where("n is null").unionByName(below.join(hot(below, "still-hot"), ["t", "key"], "left"))
+    chunks = F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int")
+    units = rows.withColumn("c", F.pmod(F.xxhash64("fp"), chunks.cast("long")).cast("int")).withColumn("j", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    units = units.select("t", "key", F.least("c", "j").alias("u"), F.greatest("c", "j").alias("v"), "c", "fp")
+    parts = units.repartition("t", "key", "u", "v").sortWithinPartitions("t", "key", "u", "v", "c", "fp")
+    return work.save(parts.mapInArrow(lambda b: _compare(b, bits, radius), "a binary, b binary").distinct(), "edges")
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
@@ -227,55 +270,19 @@ def components(edges: DataFrame, work: Scratch) -> DataFrame:
             return labels.select("node", "root")
 
 
-def similar(edges: DataFrame, texts: DataFrame, words: int, similarity: float, work: Scratch) -> DataFrame:
-    """The edges whose shingle sets have at least that Jaccard similarity.  texts: fp, text of every node."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [np.unique(shingle_hashes(t.as_py(), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["fp", "shingles"])
-
-    sets = work.save(texts.select("fp", "text").mapInArrow(run, "fp binary, shingles array<bigint>"), "sets")
-    both = edges.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    good = work.save(both.where(shared / (F.size("x") + F.size("y") - shared) >= similarity).select("a", "b"), "similar")
-    work.drop(sets)
-    return good
-
-
-def simhash_groups(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    words: int = 5,
-    bits: int = 64,
-    radius: int = 2,
-    tables: list[list[int]] | None = None,
-    distinct: bool = False,
-    similarity: float | None = None,
-) -> DataFrame:
+def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, radius: int = 2) -> DataFrame:
     """Per row of docs: id, text_hash, fp (binary), component_id and first (whether the row leads its component).
 
     A null text counts as empty; a text without words has the fingerprint zero and links as any
     other.  component_id is the smallest id of the component (null ids count only if it has no
-    other), and the leading row is the one with the smallest id, then text hash.  With a similarity,
-    pairs within the radius link only if their sets of shingles have that Jaccard similarity, and fp
-    ends in a digest of the set.
+    other), and the leading row is the one with the smallest id, then text hash; rows that repeat
+    both lead together.  An empty table gives an empty result.  No pair within the radius is missed.
     """
     work = Scratch(docs.sparkSession, "simhash")
-    if tables is None:
-        tables = pigeonhole_tables(bits, radius, 2 * radius if radius > 1 else 2) if radius else [list(range(min(bits, 60)))]
-
-    def of(text: str) -> bytes:
-        if similarity is None:
-            return fingerprint(text, words, bits, distinct)
-        h = shingle_hashes(text, words)
-        own = np.unique(h)
-        return fold(own if distinct else h, bits) + xxhash.xxh64_digest(own.tobytes())
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            fp = [of(t.as_py()) for t in batch.column(2)]
+            fp = [fingerprint(t.as_py(), words, bits) for t in batch.column(2)]
             release()
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["id", "text_hash", "fp"])
 
@@ -285,14 +292,7 @@ def simhash_groups(
     rows = work.save(rows.mapInArrow(scan, f"id {kind}, text_hash bigint, fp binary"), "fingerprints")
     lead = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "text_hash"))
     fps = work.save(rows.groupBy("fp").agg(lead.alias("lead")), "distinct")
-    edges = link(fps, bits, radius, tables, work, pairs=similarity is not None)
-    if similarity is not None:
-        nodes = edges.select(F.col("a").alias("fp")).union(edges.select("b")).distinct()
-        leads = fps.join(nodes, "fp").select("fp", F.col("lead.id").alias("__id"), F.col("lead.text_hash").alias("__hash"))
-        full = docs.select(F.col(id_col).alias("id"), text.alias("text"))
-        texts = full.join(leads, F.col("id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__hash")))
-        edges = similar(edges, texts.dropDuplicates(["fp"]), words, similarity, work)
-    roots = components(edges, work)
+    roots = components(link(fps, bits, radius, pigeonhole_tables(list(range(bits)), radius), work, complete=True), work)
     rooted = work.save(fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "lead", F.coalesce("root", "fp").alias("root")), "rooted")
     leads = work.save(rooted.groupBy("root").agg(F.min("lead").alias("lead")), "leads")
     whole = work.save(rooted.select("fp", "root").join(leads, "root").select("fp", "lead"), "whole")
@@ -301,30 +301,116 @@ def simhash_groups(
     return joined.select(F.col("id").alias(id_col), "text_hash", "fp", F.col("lead.id").alias("component_id"), first.alias("first"))
 
 
-#: The stage on five-word shingles: similarity, bits, the recall that its tables are laid out for at the radius, and by how
-#: many deviations the radius is beyond the mean distance of that similarity (99.5 % of such pairs are within it).
-SIMILARITY, STAGE_BITS, RECALL, DEVIATIONS = 0.8, 256, 0.99, 2.576
+#: The stage on five-word shingles: the similarity that links, bits, bits of a key, tables and the radius of candidates.
+#: By share_of_pairs 98 % of the pairs of exactly that similarity become candidates, and more of closer ones.
+SIMILARITY, STAGE_BITS, KEY_BITS, TABLES, STAGE_RADIUS = 0.8, 256, 14, 50, 58
+#: Distinct sets and bytes of text that one unit of the exact comparison holds of either side, about.
+SETS, SET_BYTES = 1024, 16 << 20
 
 
-def agreement(similarity: float) -> float:
-    """The probability that a bit agrees for two sets of that Jaccard similarity."""
-    return 1 - math.acos(2 * similarity / (1 + similarity)) / math.pi
+def similar_pairs(fp: list[bytes], texts: list[str], left: int, words: int, similarity: float) -> list[tuple[int, int]]:
+    """Pairs of rows, linking what is linked by sets of shingles of that Jaccard similarity among pairs within the radius.
 
+    left: rows of the first side, which are compared with the others alone; 0 compares all rows.  A
+    pair that is linked through others already is not computed.
+    """
+    m = len(fp)
+    rows = np.arange(m)
+    begin, end = (np.maximum(rows + 1, left), np.where(rows < left, m, 0)) if left else (None, None)
+    i, j = close_pairs(_planes(fp, STAGE_BITS), STAGE_RADIUS, begin, end)
+    sets: dict[int, np.ndarray] = {}
+    parent = list(range(m))
+
+    def find(x: int) -> int:
+        while parent[x] != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    found = []
+    for x, y in zip(i.tolist(), j.tolist(), strict=True):
+        a, b = find(x), find(y)
+        if a == b:
+            continue
+        for k in (x, y):
+            if k not in sets:
+                sets[k] = np.unique(shingle_hashes(texts[k], words))
+        n, o = len(sets[x]), len(sets[y])
+        if min(n, o) < similarity * max(n, o):
+            continue
+        shared = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
+        if shared and shared / (n + o - shared) >= similarity:
+            parent[max(a, b)] = min(a, b)
+            found.append((x, y))
+    return found
+
+
+def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of docs of each group of near copies, with all its columns, whatever they are called.
+
+    Rows link if their sets of shingles have a Jaccard similarity of at least `similarity`; of a
+    group the row with the smallest id stays (a null id counts last), and of rows that repeat it any
+    one.  A null text counts as empty; texts without words are one group; an empty table gives an
+    empty result.  Fingerprints of sets find candidates: pairs within STAGE_RADIUS that share a key.
+    Their components are cut into units of bounded size that hold the texts, and every candidate of
+    a unit is checked exactly unless it is linked already, so a group of n near copies costs about
+    n checks; a component beyond a unit meets itself chunk by chunk.  Keys, tables and radius are
+    the same at every size.
+    """
+    work = Scratch(docs.sparkSession, "near")
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    id_at, text_at = (plain.columns[names.index(c)] for c in (id_col, text_col))
+    text = F.coalesce(F.col(text_at), F.lit(""))
 
-def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that lead their component, with all their columns.
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fp = []
+            for t in batch.column(2):
+                own = np.unique(shingle_hashes(t.as_py(), words))
+                fp.append(fold(own, STAGE_BITS) + xxhash.xxh64_digest(own.tobytes()))  # equal sets are one node
+            release()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fp, pa.binary())], names=["id", "h", "fp"])
+
+    kind = plain.schema[id_at].dataType.simpleString()
+    rows = work.save(plain.select(F.col(id_at).alias("id"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(scan, f"id {kind}, h bigint, fp binary"), "rows")
+    nodes = work.save(rows.groupBy("fp").agg(F.count("*").alias("n")), "nodes")
+    roots = components(link(nodes, STAGE_BITS, STAGE_RADIUS, sampled_tables(STAGE_BITS, KEY_BITS, TABLES), work), work)
+    member = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").where("n > 1 or root is not null")
+    tagged = rows.join(member.select("fp", F.coalesce("root", "fp").alias("root")), "fp").select("id", "h", "fp", "root").distinct()
+    marked = plain.withColumns({"h": F.xxhash64(text), "rid": F.monotonically_increasing_id()}).alias("p")
+    same = F.col(f"p.{id_at}").eqNullSafe(F.col("t.id")) & (F.col("p.h") == F.col("t.h"))
+    marked = work.save(marked.join(work.save(tagged, "tagged").alias("t"), same, "left").select("p.*", "fp", "root").drop("h"), "marked")
+    inside = marked.where("root is not null")
+    order = F.struct(F.col(id_at).isNull().alias("none"), F.col(id_at).alias("id"), "rid")
+    heads = work.save(inside.groupBy("root", "fp").agg(F.min(order).alias("lead"), F.min_by(text, order).alias("text")), "heads")
+    sizes = heads.groupBy("root").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).where("n > 1")
+    chunks = F.greatest(F.ceil(F.col("n") / SETS), F.ceil(F.col("bytes") / SET_BYTES)).cast("int")
+    units = heads.join(sizes.select("root", chunks.alias("chunks")), "root").withColumn("c", F.pmod(F.xxhash64("fp"), F.col("chunks").cast("long")).cast("int"))
+    units = units.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    units = units.select("root", F.least("c", "j").alias("u"), F.greatest("c", "j").alias("v"), "c", "fp", "text")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unit, fp, texts, left = None, [], [], 0
+
+        def close():
+            found = similar_pairs(fp, texts, left, words, similarity) if len(fp) > 1 and not (unit[1] != unit[2] and left in (0, len(fp))) else []
+            return pa.RecordBatch.from_arrays([pa.array([fp[x] for x, _ in found], pa.binary()), pa.array([fp[y] for _, y in found], pa.binary())], names=["a", "b"])
 
-    Five-word shingles as a set, 256 bits.  The radius, DEVIATIONS of its spread beyond the distance that a
-    Jaccard similarity of 0.8 makes on average, only finds candidates; pairs link if their sets are that similar.
-    Keys take as many bits as keep about 64 fingerprints together, whatever the size of the table.
-    """
-    agree = agreement(SIMILARITY)
-    radius = round(STAGE_BITS * (1 - agree) + DEVIATIONS * math.sqrt(STAGE_BITS * agree * (1 - agree)))
-    key_bits = max(12, round(math.log2(max(2, docs.count()))) - 6)
-    # the bits of a key are drawn without replacement, so a pair at the radius shares a key less often than agree ** key_bits
-    at_radius = (math.comb(STAGE_BITS - radius, key_bits) / math.comb(STAGE_BITS, key_bits)) ** (1 / key_bits)
-    tables = sampled_tables(STAGE_BITS, key_bits, at_radius, RECALL)
-    groups = simhash_groups(docs, id_col, text_col, 5, STAGE_BITS, radius, tables, distinct=True, similarity=SIMILARITY)
-    gone = groups.where(~F.col("first")).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
-    return docs.join(gone, same, "left_anti")
+        for batch in batches:
+            for k, now in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if now[:3] != unit:
+                    if unit is not None:
+                        yield close()
+                    unit, fp, texts, left = now[:3], [], [], 0
+                fp.append(batch.column(4)[k].as_py())
+                texts.append(batch.column(5)[k].as_py())
+                left += now[1] != now[2] and now[3] == now[1]
+        if unit is not None:
+            yield close()
+
+    parts = units.repartition("root", "u", "v").sortWithinPartitions("root", "u", "v", "c", "fp")
+    good = components(work.save(parts.mapInArrow(check, "a binary, b binary").distinct(), "similar"), work)
+    rooted = heads.join(good.withColumnRenamed("node", "fp").withColumnRenamed("root", "top"), "fp", "left")
+    leads = rooted.groupBy(F.coalesce("top", "fp").alias("top")).agg(F.min("lead").alias("lead")).select(F.col("lead.rid").alias("rid"))
+    kept = inside.join(work.save(leads, "leads"), "rid").select(*plain.columns)
+    return marked.where("root is null").select(*plain.columns).unionByName(kept).toDF(*names)

@@ -247,21 +247,6 @@ def test_contaminated_is_brute_force(spark):
     assert {r.doc_id for r in Q.op7_decontaminate(spark, SMALL).collect()} == want and want
 
 
-def test_near_stage(spark, odd, empty):
-    docs = rows_of("documents", "doc_id", "text")
-    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
-    sets = {d: set(shingle_hashes(t, 5).tolist()) for d, t in docs}
-    kept = {r.doc_id for r in drop_near(frame).collect()}
-    like = lambda a, b: len(sets[a] & sets[b]) / max(1, len(sets[a] | sets[b]))
-    for d in sets:
-        near = [e for e in sets if e != d and like(d, e) >= 0.9]
-        if near:
-            assert len({d, *near} & kept) <= 1 + sum(like(d, e) < 0.95 for e in near)
-        if all(like(d, e) < 0.5 for e in sets if e != d):
-            assert d in kept
-    assert drop_near(odd).columns == odd.columns and drop_near(empty).count() == 0
-
-
 def test_near_stage_is_jaccard(spark):
     def pair(k, tail):
         words = [f"w{k}x{i}" for i in range(100)]

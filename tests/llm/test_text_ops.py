@@ -8,11 +8,16 @@ import pyarrow.parquet as pq
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
+
 from paperloom.llm import queries as Q
 from paperloom.llm.exact_dedup import drop_exact, exact_groups
 from paperloom.llm.line_dedup import line_dedup
-from paperloom.llm.packing import assign, pack
-from paperloom.llm.simhash import close_pairs, components, fingerprint, link, sampled_tables, simhash_groups
+from paperloom.llm.packing import assign, capacities, pack
+from paperloom.llm.simhash import (
+    KEY_BITS, SIMILARITY, STAGE_BITS, STAGE_RADIUS, TABLES, close_pairs, components, drop_near, fingerprint, link, pigeonhole_tables, sampled_tables, share_of_pairs,
+    shingle_hashes, similar_pairs, simhash_groups,
+)
 from paperloom.llm.token_store import BadStore, Block, pack_block, write_tokens
 from paperloom.llm.tokens import PieceEncoder
 from paperloom.llm.common import Scratch
@@ -37,6 +42,19 @@ def test_pieces_give_the_ids_of_whole_texts(name, split):
             assert np.array_equal(a, b)
 
 
+#: Characters that lower-casing, white space or marks make hard to cut at.
+HARD = [*"aBz İIıSſßéÉçÇΣσςЖж語か٣²½ǅ.,!?'\"-_()<|>@#$%^&*`~/:;=+[]{}\\ 0129", *" " * 14, "\n", "\t", "\r", "\x0b", "\u0301", "\u0307", "\xa0", "\u2003", "\u200d", "\x1c", "\0", "\x85",
+        "👍", "🏽", "it's", "I'LL", " x", "ing", "The", "İ.", "İ,!"]
+
+
+@pytest.mark.parametrize(("name", "split"), [(Q.BYTE_BPE, "spaces"), (Q.WORD_BPE, "words")])
+def test_any_text_gives_the_ids_of_the_library(name, split):
+    rng = np.random.default_rng(17)
+    texts = ["".join(HARD[k] for k in rng.integers(0, len(HARD), n)) for n in rng.integers(1, 14, 100_000).tolist()]
+    model = PieceEncoder(public_tokenizers.path(name), split)
+    assert all(np.array_equal(a, b) for a, b in zip(model.encode(pa.array(texts)), model.whole(texts), strict=True))
+
+
 def expected_ids(name, split, end):
     model = PieceEncoder(public_tokenizers.path(name), split)
     docs = sorted(documents().items())
@@ -62,6 +80,15 @@ def test_token_store_fetch_and_odd_rows(spark, odd, empty, tmp_path):
     assert write_tokens(empty, f"file://{tmp_path}/b", vocabulary, "words", 2).documents().count() == 0
 
 
+def test_token_store_checks_the_width_and_samples_every_row(spark, odd, tmp_path):
+    with pytest.raises(ValueError, match="bytes"):
+        write_tokens(odd, f"file://{tmp_path}/w", public_tokenizers.path(Q.WORD_BPE), "words", 2, width=1)
+    docs = [(i, f"text number {i} " * 30) for i in range(900)]
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    made = [write_tokens(f, f"file://{tmp_path}/{k}", public_tokenizers.path(Q.WORD_BPE), "words", 2).dictionary for k, f in enumerate((frame, frame.orderBy(F.desc("doc_id")).repartition(5)))]
+    assert made[0] == made[1] and len(made[0]) > 100
+
+
 def test_token_block_knows_its_dictionary():
     import zstandard
 
@@ -100,7 +127,7 @@ def test_exact_groups_with_a_hot_text(spark):
 def brute_lines(texts, least, shortest=1):
     upper = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     cut = [[(x, x.strip(" \t\n\x0b\x0c\r").translate(upper)) for x in (t or "").split("\n")] for _, t in texts]
-    n = Counter(k for ls in cut for k in {k for _, k in ls if len(k) >= shortest})
+    n = Counter(k for _, k in {(i, k) for (i, _), ls in zip(texts, cut, strict=True) for _, k in ls if len(k) >= shortest})
     return Counter((i, len(ls), sum(n[k] >= least for _, k in ls), "\n".join(x for x, k in ls if n[k] < least)) for (i, _), ls in zip(texts, cut, strict=True))
 
 
@@ -113,6 +140,12 @@ def test_line_dedup(spark, odd, empty):
     assert line_dedup(empty).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    rows = [(1, "said often\nonce")] * 10 + [(i, f"own {i}\nshared") for i in range(2, 12)]
+    got = line_dedup(spark.createDataFrame(rows, "doc_id bigint, text string"), min_docs=10)
+    assert Counter(map(tuple, got.collect())) == brute_lines(rows, 10)
+
+
 def test_assign_fills_sequences_exactly():
     rng = np.random.default_rng(1)
     for lengths in ([], [1], [1024], [2048, 1], [5000, 3, 3, 3], rng.integers(1, 3000, 400).tolist()):
@@ -131,6 +164,26 @@ def test_assign_fills_sequences_exactly():
         assert all(s <= 1024 and s & (s - 1) == 0 for s in sizes)
 
 
+def test_a_piece_is_cut_only_where_no_sequence_has_room():
+    rng = np.random.default_rng(6)
+    for lengths in (rng.integers(1, 1024, 600).tolist(), rng.integers(600, 900, 300).tolist(), [700] * 50 + [1] * 400):
+        # the same dealing by a search through all sequences
+        room = capacities(sum(lengths), 1024)
+        free, cost, rest, want = list(room), [0.0] * len(room), sorted(((-n, d, 0) for d, n in enumerate(lengths) if n), reverse=True), []
+        while rest:
+            n, doc, start = rest.pop()
+            fit = [i for i in range(len(room)) if free[i] >= -n] or [i for i in range(len(room)) if free[i]]
+            i = min(fit, key=lambda i: (cost[i], i))
+            put = min(-n, free[i])
+            want.append((doc, start, put, i, room[i] - free[i]))
+            free[i] -= put
+            cost[i] += put + put * put / 1024
+            if put < -n:
+                rest.append((n + put, doc, start + put))
+                rest.sort(reverse=True)
+        assert assign(lengths) == want
+
+
 def test_packing_balances_cost():
     rng = np.random.default_rng(2)
     cost = Counter()
@@ -209,24 +262,97 @@ def test_close_pairs(radius):
     assert set(zip(*[x.tolist() for x in close_pairs(on, radius)], strict=True)) == want
 
 
-def test_chunks_lose_no_link(spark):
+@pytest.mark.parametrize("chunk", [16, 100, 2048])
+def test_chunks_and_deeper_keys_lose_no_link(spark, chunk):
     rng = np.random.default_rng(3)
     centre = rng.integers(0, 2, 64, dtype=np.uint8)
     on = centre ^ (rng.random((300, 64)) < 0.03).astype(np.uint8)
     values = sorted({np.packbits(x).tobytes() for x in on})
-    from paperloom.llm.simhash import pigeonhole_tables
-
     work = Scratch(spark, "test")
     frame = spark.createDataFrame([(bytearray(v),) for v in values], "fp binary")
-    edges = link(frame, 64, 2, pigeonhole_tables(64, 2, 4), work, chunk=16)
-    got = {bytes(r.node): bytes(r.root) for r in components(edges, work).collect()}
     fps = [(i, int(v.hex(), 16)) for i, v in enumerate(values)]
     want = Counter(c for _, _, c in brute_components(fps, 2))
-    assert Counter(Counter(got.get(v, v) for v in values).values()) == Counter(want.values())
-
-
-def test_sampled_tables_grow_with_the_key():
-    assert len(sampled_tables(256, 12, 0.85, 0.99)) < len(sampled_tables(256, 16, 0.85, 0.99))
+    for complete in (False, True):
+        edges = link(frame, 64, 2, pigeonhole_tables(list(range(64)), 2), work, chunk=chunk, complete=complete)
+        got = {bytes(r.node): bytes(r.root) for r in components(edges, work).collect()}
+        assert Counter(Counter(got.get(v, v) for v in values).values()) == Counter(want.values())
+
+
+def test_close_pairs_of_ranges():
+    rng = np.random.default_rng(5)
+    on = rng.integers(0, 2, (3, 64), dtype=np.uint8)[rng.integers(0, 3, 300)] ^ (rng.random((300, 64)) < 0.03).astype(np.uint8)
+    begin, end = rng.integers(0, 300, 300), rng.integers(0, 301, 300)
+    want = {(i, j) for i in range(300) for j in range(max(i + 1, begin[i]), end[i]) if (on[i] != on[j]).sum() <= 3}
+    assert set(zip(*[x.tolist() for x in close_pairs(on, 3, begin, end)], strict=True)) == want
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_near(rows, least=SIMILARITY):
+    """The ids that stay of (id, text) rows, and the pairs that link."""
+    sets = [set(shingle_hashes(t or "", 5).tolist()) for _, t in rows]
+    root = list(range(len(rows)))
+    holds = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            holds[x].append(i)
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    pairs = {(a, b) for h in holds.values() for k, a in enumerate(h) for b in h[k + 1 :]} | {(a, b) for a in range(len(rows)) for b in range(a) if not sets[a] and not sets[b]}
+    pairs = {(a, b) for a, b in pairs if jaccard(sets[a], sets[b]) >= least}
+    for a, b in pairs:
+        root[find(a)] = find(b)
+    least_id = {}
+    for k, (i, _) in enumerate(rows):
+        least_id[find(k)] = min(i, least_id.get(find(k), i))
+    return sorted(least_id.values()), pairs
+
+
+def edited(rng, words, share):
+    return " ".join(f"x{rng.integers(1 << 30)}" if rng.random() < share else w for w in words)
+
+
+def test_near_stage_is_brute_force(spark, odd, empty):
+    rng = np.random.default_rng(8)
+    rows = [(i, t) for i, t in documents().items()]
+    for _ in range(60):
+        words = [f"w{k}" for k in rng.integers(0, 3000, rng.integers(60, 500))]
+        rows += [(len(rows) + 10_000, edited(rng, words, share)) for share in (0, 0.005, 0.01, 0.02, 0.03, 0.05)]
+    rows += [(9_000_000, None), (9_000_001, "  "), (9_000_002, "a b"), (9_000_003, "A B")]
+    want, pairs = brute_near(rows)
+    frame = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], "doc_id bigint, text string, c1 int, rid string")
+    got = drop_near(frame)
+    assert got.columns == frame.columns
+    got = sorted(r.doc_id for r in got.collect())
+    # precision is exact: what stays beyond the brute force is a link that no key found
+    assert set(got) >= set(want) and len(got) - len(want) <= 0.03 * len(pairs) and len(pairs) > 100
+    assert drop_near(empty).columns == empty.columns and drop_near(empty).count() == 0
+    texts = {frozenset(shingle_hashes(r.text or "", 5).tolist()) for r in odd.collect()}
+    assert drop_near(odd).count() == len(texts)
+
+
+def test_units_of_the_near_stage_lose_no_link(spark, monkeypatch):
+    from paperloom.llm import simhash
+
+    monkeypatch.setattr(simhash, "SETS", 7)
+    rng = np.random.default_rng(4)
+    words = [f"w{k}" for k in rng.integers(0, 900, 400)]
+    rows = [(i, edited(rng, words, 0.004 * (i % 4))) for i in range(80)] + [(i, f"other {i} " * 9) for i in range(100, 120)]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in drop_near(frame).collect()) == brute_near(rows)[0]
+
+
+def test_candidates_of_the_near_stage():
+    share = lambda s: share_of_pairs(s, STAGE_BITS, KEY_BITS, TABLES, STAGE_RADIUS)
+    assert 0.978 < share(0.8) < share(0.85) < share(0.9) and share(0.9) > 0.999
+    assert len(sampled_tables(256, 14, 50)) == 50
+    assert similar_pairs([fingerprint("a b c", 5, 256)] * 2, ["a b c", "A B C"], 0, 5, 0.8) == [(0, 1)]
 
 
 def test_text_sha(spark):
