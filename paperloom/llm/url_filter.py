@@ -15,8 +15,8 @@ from paperloom.llm.line_dedup import LOWER, UPPER
 
 #: (verdict, rule) of the query.
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
-#: Steps end when the scores change by less than the tolerance in sum; each step shrinks the change by the damping.
-DAMPING, TOLERANCE = 0.85, 1e-6
+#: Steps end when less than the tolerance is on its way; each step damps it.
+DAMPING, TOLERANCE = 0.85, 1e-5
 #: A host is a seed if this share of its pages is allowed, or blocked by rules of whole hosts (a rule of one folder does
 #: not speak for the host); it is blocked if distrust is over the second share of both scores.
 SEED_SHARE, BLOCK_SHARE = 0.5, 0.5
@@ -44,35 +44,32 @@ def best_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Column]:
 def spread(links: DataFrame, seeds: DataFrame, work: Scratch, tolerance: float = TOLERANCE) -> DataFrame:
     """(host, trust, distrust).  links: src, dst, weight between different hosts; seeds: host, kind (allow or block).
 
-    Scores of a kind sum to one: what hosts without a way on hold goes back to the seeds.
+    The scores of a kind are the sum of what its seeds send along one, two and more links, each time
+    damped, until less than the tolerance is on its way; they are scaled to sum to one.  That is
+    personalised PageRank in which hosts without a way on give what they hold back to the seeds.
     """
-    total = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}
-    start = seeds.select("kind", "host", F.when(F.col("kind") == "allow", F.lit(1.0 / total.get("allow", 1))).otherwise(F.lit(1.0 / total.get("block", 1))).alias("score"))
-    start = work.save(start, "seeds")
+    total = {r["kind"]: r["n"] for r in seeds.groupBy("kind").agg(F.count("*").alias("n")).collect()}  # two rows
+    one = F.when(F.col("kind") == "allow", 1.0 / total.get("allow", 1)).otherwise(1.0 / total.get("block", 1))
+    start = work.save(seeds.select("kind", "host", one.alias("score")), "seeds")
     ways = links.select(F.lit("allow").alias("kind"), F.col("src").alias("host"), F.col("dst").alias("to"), "weight")
     ways = ways.unionByName(links.select(F.lit("block").alias("kind"), F.col("dst").alias("host"), F.col("src").alias("to"), "weight"))
     out = work.save(ways.groupBy("kind", "host").agg(F.sum("weight").alias("out")), "out")
     ways = work.save(ways.join(out, ["kind", "host"]).select("kind", "host", "to", (F.col("weight") / F.col("out")).alias("share")), "ways")
-    scores = start
-    if not ways.isEmpty():
-        while True:
-            moved = ways.join(scores, ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
-            moved = work.save(moved, "moved")
-            sent = {r["kind"]: r["n"] for r in moved.groupBy("kind").agg(F.sum("score").alias("n")).collect()}  # two rows
-            back = F.when(F.col("kind") == "allow", 1.0 - sent.get("allow", 0.0)).otherwise(1.0 - sent.get("block", 0.0))
-            given = start.select("kind", "host", (back * F.col("score")).alias("score"))
-            new = work.save(moved.unionByName(given).groupBy("kind", "host").agg(F.sum("score").alias("score")), "scores")
-            before = scores.select("kind", "host", F.col("score").alias("was"))
-            change = new.join(before, ["kind", "host"], "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).collect()[0][0]
-            work.drop(moved, *([scores] if scores is not start else []))
-            scores = new
-            if (change or 0) < tolerance:
-                break
-    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0))
-    return scores.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
+    steps = [start]
+    while True:
+        sent = ways.join(steps[-1], ["kind", "host"]).groupBy("kind", F.col("to").alias("host")).agg((DAMPING * F.sum(F.col("share") * F.col("score"))).alias("score"))
+        steps.append(work.save(sent, "step"))
+        if (steps[-1].agg(F.sum("score")).collect()[0][0] or 0) < tolerance:
+            break
+    summed = links.sparkSession.read.schema(start.schema).parquet(*[s._scratch for s in steps]).groupBy("kind", "host").agg(F.sum("score").alias("score"))
+    summed = work.save(summed, "summed")
+    work.drop(*steps, ways, out)
+    mass = {r["kind"]: r["n"] for r in summed.groupBy("kind").agg(F.sum("score").alias("n")).collect()}  # two rows
+    part = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score") / mass.get(kind, 1.0)).otherwise(0.0))
+    return summed.groupBy("host").agg(part("allow").alias("trust"), part("block").alias("distrust"))
 
 
-def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", tolerance: float = TOLERANCE) -> DataFrame:
     """id, host, path, rule and verdict of every row, in one of the words allow and block.
 
     Hosts without any score are allowed, as are urls without a host.  A null html has no links.
@@ -92,7 +89,7 @@ def judge(pages: DataFrame, rules=RULES, id_col: str = "page_id", url_col: str =
     there = F.array_distinct(F.transform(F.regexp_extract_all(F.col(html_col), F.lit(_HREF), F.lit(1)), lambda h: F.translate(h, UPPER, LOWER)))
     links = pages.select(host.alias("src"), F.explode(there).alias("dst")).where("src <> '' and src <> dst")
     links = work.save(links.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), "links")
-    scores = spread(links, work.save(seeds, "seed-hosts"), work)
+    scores = spread(links, work.save(seeds, "seed-hosts"), work, tolerance)
     bad = F.col("distrust") > BLOCK_SHARE * (F.col("trust") + F.col("distrust"))
     blocked = work.save(scores.where(bad).select("host", F.lit("block").alias("spread")), "blocked")
     return rows.join(blocked, "host", "left").select(
