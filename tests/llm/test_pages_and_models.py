@@ -131,9 +131,18 @@ def test_main_text():
     <!-- <p>no</p> --><div class="cookie-notice">We use</div><main><article><header><h1>Head &amp; <b>bo</b>ld</h1></header><p>One
     two&nbsp;three<br>four<p>Five <script>var t="</p>";</script>six</p><ul><li>a<li>b</ul><div class="ad">Buy</div><form>Search</form><div id="comments"><p>Nice!</p></div>
     <table><tr><td>x<td>y</table><p hidden>gone</p></article></main><aside>Side</aside><footer>&copy; me</footer></body></html>"""
-    assert main_text(page, frozenset()) == "\n\n".join(["Head & bold", "One two three four", "Five six", "a", "b", "x", "y"])
-    assert main_text("", frozenset()) == "" and main_text("plain a<b text", frozenset()) == "plain a<b text"
-    assert main_text("<div>a</div><div class='menu'>b</div><p>c", frozenset()) == "a\n\nc"
+    assert main_text(page) == "\n\n".join(["Head & bold", "One two three four", "Five six", "a", "b", "x", "y"])
+    assert main_text("") == "" and main_text("plain a<b text") == "plain a<b text"
+    assert main_text("<div>a</div><div class='menu'>b</div><p>c") == "a\n\nc"
+
+
+def test_names_speak_only_of_boxes_and_whole():
+    page = lambda body: main_text(f"<body class='has-sidebar'>{body}</body>")
+    for kept in ("<div class='share-price'>Stock up 3%</div>", "<p class='notice'>Stock up 3%</p>", "<blockquote class='banner'>Stock up 3%</blockquote>", "<div id='related-work'>Stock up 3%</div>"):
+        assert page(kept) == "Stock up 3%"
+    for gone in ("<div class='cookie-notice'>x</div>", "<div id='site-footer'>x</div>", "<ul class='share-buttons'><li>x</ul>", "<div role='search'>x</div>", "<div style='display: none'>x</div>"):
+        assert page(gone) == ""
+    assert page("<div class='search'><article>found</article></div><div>not</div>") == "found"
 
 
 def brute_article(page):
@@ -150,15 +159,53 @@ def test_extract_query(spark):
     assert got == {i: (t, len(t)) for i, t in want.items()}
 
 
-def test_template_text_is_dropped(spark):
-    page = lambda i: f"<div class='top'>Welcome to the site</div><div class='x{i}'><p>Story {i}</p></div><div class='end'>All rights</div>"
-    pages = [(i, f"http://h.example/{i}", page(i)) for i in range(12)] + [(50, None, None), (51, "http://other.example/", page(3))]
-    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, PAGE)).collect()}
-    assert all(got[i] == f"Story {i}" for i in range(12)) and got[50] == ""
-    assert got[51] == "Welcome to the site\n\nStory 3\n\nAll rights"
+WORDS = "alder birch cedar elm fir hazel larch maple oak pine rowan willow yew ash beech lime".split()
+
+
+def template_page(rng, k):
+    """A page without any telling name, and its article: menu, teaser and small print lie in plain boxes as the article does."""
+    say = lambda n: " ".join(rng.choice(WORDS, n)).capitalize()
+    article = [say(4), *[say(int(n)) for n in rng.integers(15, 60, rng.integers(1, 6))]]
+    inner = f"<h2>{article[0]}</h2>" + "".join(f"<p>{x}</p>" for x in article[1:])
+    menu = "".join(f"<div><a href='/{w}'>{w}</a></div>" for w in rng.choice(WORDS, 5))
+    page = (
+        f"<body><div class='k1'>Welcome to the wood</div><div class='k2'>{menu}</div><div class='k3'>{say(3)}</div>"
+        f"<div class='k4'>{inner}<div class='k5'>Read on in our shop</div></div><div class='k6'>Page {k} of all</div></body>"
+    )
+    return page, "\n\n".join(article)
+
+
+def test_the_template_finds_the_article(spark):
+    rng = np.random.default_rng(2)
+    made = [template_page(rng, k) for k in range(40)]
+    pages = [(k, f"http://wood.example/{k}", html) for k, (html, _) in enumerate(made)]
+    # a host of three pages, a host whose pages are copies of two, and a page alone on its host
+    pages += [(100 + k, f"http://small.example/{k}", made[k][0]) for k in range(3)] + [(200 + k, f"http://copies.example/{k}", made[k // 19][0]) for k in range(20)]
+    pages += [(300, "http://alone.example/", made[0][0]), (301, None, None), (302, "http://wood.example/x", "")]
+    got = {r.page_id: r.text for r in extract(spark.createDataFrame(pages, PAGE).repartition(5)).collect()}
+    want = {k: text for k, (_, text) in enumerate(made)} | {100 + k: made[k][1] for k in range(3)} | {200 + k: made[k // 19][1] for k in range(20)}
+    assert {k: got[k] for k in want} == want
+    # without a template there is nothing to tell these boxes apart
+    assert got[300] == main_text(made[0][0]) != made[0][1] and got[301] == got[302] == ""
     assert extract(spark.createDataFrame([], PAGE)).count() == 0
 
 
+def test_copies_keep_their_article(spark):
+    page = lambda k: f"<body><div class='menu'>Menu</div><article><p>One story told in full</p><p>and its end</p></article><footer>{k}</footer></body>"
+    pages = [(k, f"http://h.example/{k}", page(k % 3)) for k in range(30)]
+    assert {r.text for r in extract(spark.createDataFrame(pages, PAGE)).collect()} == {"One story told in full\n\nand its end"}
+
+
+def test_classes_must_be_in_order():
+    from paperloom.llm.extract_html import _signatures
+
+    same = _signatures([(1, 10), (1, 11), (2, 20), (2, 21), (2, 20), (2, 21), (1, 12)])
+    assert same == _signatures([(1, 10), (1, 11), (2, 20), (2, 21), (1, 12)])
+    assert same[2] != _signatures([(1, 10), (2, 20), (2, 21), (1, 11), (1, 12)])[2]  # another gap
+    assert same[1] != _signatures([(1, 11), (1, 10), (2, 20), (2, 21), (1, 12)])[1]  # another order
+    assert same[2] != _signatures([(1, 10), (1, 11), (2, 20), (2, 21), (2, 21), (1, 12)])[2]  # rounds that differ
+
+
 def test_pool_is_the_mean_of_words():
     rng = np.random.default_rng(0)
     from paperloom.llm.quality import BUCKETS, REPEAT
