@@ -4,13 +4,15 @@ Numbers, names and units become typed placeholders and other words are lower-cas
 punctuation around them.  Windows of WINDOW canonical words of documents are joined by hash with
 those of the benchmark's items; a window needs LITERALS words that are no placeholder, and one with
 fewer joins by the words and values themselves.  Items shorter than a window are matched whole, by
-template and by their words; those of fewer than LITERALS words only where they stand as a sentence
-or line of their own.  Windows
+their words and, with LEAST_LITERALS words that are no placeholder, by template; those of fewer
+than LITERALS words, and templates with fewer than LITERALS literals, only where they stand as a
+sentence or line of their own.  Windows
 that line up with one item are checked slot by slot: one value of the item must always stand for
 one value in the document, so a question with other numbers or names is caught while a chance
 sequence of placeholders is not.  A value that stands for two takes only the windows that hold it
-out, and not those whose values are the item's own.  A bitmap of the items' hashes, of bounded size, spares the join
-windows that cannot match; beyond that bound the join does all the work.
+out, and not those whose values are the item's own.  A bitmap of the items' hashes, made in the
+executors and of bounded size, spares the join windows that cannot match; the more windows the
+benchmark has beyond that size, the more of them pass it, and the join decides.
 """
 
 from __future__ import annotations
@@ -28,13 +30,13 @@ from pyspark.sql import functions as F
 from paperloom.llm import pieces
 from paperloom.llm.common import Scratch
 
-WINDOW, LITERALS = 8, 4
+WINDOW, LITERALS, LEAST_LITERALS = 8, 4, 2
 #: The share of an item's windows that makes a document contaminated.
 SHARE = 0.3
 #: Words in a row that make it contaminated, however long the item is.
 RUN = 13
-#: Windows of the benchmark up to which the bitmap is made; it has 2**22 to 2**28 bits, 256 a window between them.
-BITMAP_WINDOWS = 4_000_000
+#: Logarithms of the fewest and the most bits of the bitmap; between them it has 256 for each window.
+BITMAP_BITS = (22, 26)
 
 # Units, which count only behind a number.
 UNITS = frozenset(
@@ -109,7 +111,7 @@ class Windows:
         own = np.array([xxhash.xxh64_intdigest(f"\1{v}".encode("utf-8", "surrogatepass")) for v in self.values], dtype=np.uint64)
         return own[self.piece] if len(self.piece) else np.zeros(0, np.uint64)
 
-    def hashes(self, codes: np.ndarray, size: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def hashes(self, codes: np.ndarray, size: int, salt: int = 0, verbatim: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """The hashes of all runs of `size` codes, how many literals each holds, and where those lie that are within one text."""
         n = max(0, len(codes) - size + 1)
         h = np.full(n, salt, dtype=np.uint64)
@@ -118,20 +120,21 @@ class Windows:
             h += codes[k : k + n] * np.uint64(pow(_BASE, k, 1 << 64))
             literals += self.slot[k : k + n] == 0
         good = self.doc[:n] == self.doc[size - 1 :][:n] if n else np.zeros(0, bool)
-        if size < LITERALS and n:  # a sentence or line of its own
-            good = good & self.starts[:n] & np.concatenate([self.starts, [True]])[size : size + n]
+        if size < WINDOW and n:  # whole items that are short or mostly placeholders must be a sentence or line of their own
+            alone = self.starts[:n] & np.concatenate([self.starts, [True]])[size : size + n]
+            good = good & (alone | (np.int64(size) >= LITERALS) & ((literals >= LITERALS) | verbatim))
         return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9), literals, np.flatnonzero(good)
 
     def templates(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and places of the canonical windows with enough literals."""
         # shorter windows are salted with their size, and windows of words differ from all of them
         h, literals, at = self.hashes(self.codes, size, 0 if size == WINDOW else size)
-        at = at[literals[at] >= min(LITERALS, size)]
+        at = at[literals[at] >= (LITERALS if size == WINDOW else min(LEAST_LITERALS, size))]
         return h[at], at
 
     def verbatim(self, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes and places of the windows of words and numbers as they stand."""
-        h, _, at = self.hashes(self.words(), size, 1000 + size)
+        h, _, at = self.hashes(self.words(), size, 1000 + size, verbatim=True)
         return h[at], at
 
     def slots(self, at: int, size: int) -> list[str]:
@@ -179,12 +182,16 @@ def item_windows(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return rows.mapInArrow(run, "wh bigint, item_id bigint, at bigint, slots array<string>, size int, verbatim boolean")
 
 
-def bitmap_of(hashes: list[int]) -> tuple[np.ndarray, int]:
-    """A bit for each hash, by its highest bits, and how far a hash is shifted to give its bit."""
-    bits = min(28, max(22, (256 * len(hashes)).bit_length()))
-    on = np.zeros(1 << bits, dtype=np.uint8)
-    on[(np.array(hashes, dtype=np.int64).view(np.uint64) >> np.uint64(64 - bits)).astype(np.int64)] = 1
-    return np.packbits(on, bitorder="little"), 64 - bits
+def bitmap_of(hashes: DataFrame) -> tuple[np.ndarray, int]:
+    """A bit for each hash (column wh), by its highest bits, and how far a hash is shifted to give its bit."""
+    n = max(1, hashes.count())
+    bits = min(BITMAP_BITS[1], max(BITMAP_BITS[0], (256 * n).bit_length()))
+    bit = F.shiftrightunsigned("wh", 64 - bits)
+    words = hashes.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(wh, {64 - bits}) & 63 as int))")).alias("on"))
+    found = words.toArrow()  # at most 2**20 rows
+    out = np.zeros(1 << bits - 6, dtype=np.uint64)
+    out[found.column(0).to_numpy()] = found.column(1).to_numpy().view(np.uint64)
+    return out.view(np.uint8), 64 - bits
 
 
 def contaminated(
@@ -194,17 +201,16 @@ def contaminated(
 
     A document holds an item if windows that agree in their slots cover at least `share` of the
     item's, or of those with enough literals, or RUN words of it in a row.  Null texts count as
-    empty; a null item id is no item; rows equal in id and text are one document.
+    empty and hold nothing; a null item id is no item; rows equal in id and text are one document,
+    and so are items that repeat an id.  Without documents or items the result is empty.
     """
     work = Scratch(docs.sparkSession, "leaks")
     wanted = work.save(item_windows(items, item_id_col, item_text_col), "items")
     dense = F.countDistinct(F.when(~F.col("verbatim"), F.col("at")))
     sizes = work.save(wanted.groupBy("item_id").agg(F.countDistinct("at").alias("windows"), dense.alias("dense")), "sizes")
     kinds = [(r["size"], r["verbatim"]) for r in wanted.select("size", "verbatim").distinct().orderBy("size", "verbatim").collect()]  # at most 2 * WINDOW
-    bitmap = shift = None
-    if wanted.count() <= BITMAP_WINDOWS:
-        bitmap, shift = bitmap_of([r.wh for r in wanted.select("wh").distinct().collect()])
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # at most 32 MB
+    bitmap, shift = bitmap_of(wanted.select("wh"))
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)  # at most 8 MB
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,7 +224,7 @@ def contaminated(
             done = 0
             for block in pieces.blocks(batch.column(2)):
                 found = Windows(block)
-                wh, doc, at, slots = _window_rows(found, kinds, None if on is None else known)
+                wh, doc, at, slots = _window_rows(found, kinds, known)
                 rows = pa.array(doc)
                 ids, hashes = (batch.column(k).slice(done, len(block)).take(rows) for k in (0, 1))
                 done += len(block)
@@ -248,7 +254,10 @@ def contaminated(
 
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that hold no item, with all their columns."""
-    bad = contaminated(docs, items, id_col, text_col).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == F.col("__hash"))
-    return docs.join(bad, same, "left_anti")
+    """The rows of docs that hold no item, with all their columns, whatever they are called; repeated rows stay or go together."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    id_at, text_at = (plain.columns[names.index(c)] for c in (id_col, text_col))
+    bad = contaminated(plain, items, id_at, text_at).select(F.col(id_at).alias("id"), "text_hash").distinct()
+    same = plain[id_at].eqNullSafe(F.col("id")) & (F.xxhash64(F.coalesce(plain[text_at], F.lit(""))) == F.col("text_hash"))
+    return plain.join(bad, same, "left_anti").toDF(*names)
