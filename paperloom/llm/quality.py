@@ -18,11 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm import pieces
+from paperloom.llm.common import free_name
 
 #: Buckets, length of a vector, its non-zero entries, and words around one that count.
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 6, 2
-#: The labelled sample: rows with the lowest hashes of their ids, and the code points that such a row may have.
+#: The labelled sample: so many rows of at most so many code points, those with the lowest hashes of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 32_768
+#: Pieces whose buckets a worker remembers; a full memory is emptied.
+CACHE_PIECES = 500_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 _ENDS = re.compile(r"([^\w\s]*)(.*?)([^\w\s]*)", re.S)
 
@@ -51,6 +54,17 @@ def piece_buckets(piece: str) -> tuple[int, ...]:
 
 
 REPEAT = _bucket("r", "")
+_SEEN: dict[str, tuple[int, ...]] = {}
+
+
+def buckets_of(distinct: list[str]) -> list[tuple[int, ...]]:
+    """The buckets of pieces, computed once while a worker remembers them."""
+    if len(_SEEN) > CACHE_PIECES:
+        _SEEN.clear()
+    for p in distinct:
+        if p not in _SEEN:
+            _SEEN[p] = piece_buckets(p)
+    return [_SEEN[p] for p in distinct]
 
 
 def index_vectors() -> np.ndarray:
@@ -81,7 +95,7 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = []
     for block in pieces.blocks(texts):
         distinct, at, offsets = pieces.cut(block)
-        buckets = [piece_buckets(p) for p in distinct]
+        buckets = buckets_of(distinct)
         n = np.array([len(b) for b in buckets], dtype=np.int64)
         flat = np.array([x for b in buckets for x in b], dtype=np.int64)
         own = np.zeros((len(distinct), DIMENSIONS), dtype=np.float32)
@@ -170,27 +184,44 @@ def held_out(id_col: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
-    """Fits on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS code points, none of them held out."""
+    """Fits on at most SAMPLE_ROWS labelled rows of at most SAMPLE_CHARS code points, none of them held out.
+
+    A null text counts as empty, a null id has no label, of labels that repeat an id the largest
+    counts, and rows that repeat an id are rows of the sample each.  Without labels of both kinds,
+    or documents, the model scores 0.5.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull() & ~held_out(id_col))
     known = known.groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("label"))
-    known = known.orderBy(F.xxhash64("id"), "id").limit(SAMPLE_ROWS)
+    known = known.orderBy(F.xxhash64("id"), "id").limit(2 * SAMPLE_ROWS)  # long texts may take half of them out
     texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    rows = texts.join(F.broadcast(known), "id").where(F.length("text") <= SAMPLE_CHARS).collect()
+    rows = texts.join(F.broadcast(known), "id").where(F.length("text") <= SAMPLE_CHARS)
+    rows = rows.orderBy(F.xxhash64("id"), "id", "text").limit(SAMPLE_ROWS).collect()
     rows.sort(key=lambda r: (r.id, r.text))
-    rows = rows[:SAMPLE_ROWS]
     return Model([r.text for r in rows], [int(r.label) for r in rows])
 
 
-def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with `__score` (0 to 1, higher is better); a null text counts as empty."""
+def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
+    """All columns of docs and the score (0 to 1, higher is better), as score_col, which docs must not have.
+
+    A null text counts as empty, an empty text gets a score as any other; repeated rows score alike,
+    and an empty table gives an empty result.
+    """
+    if score_col.lower() in {c.lower() for c in docs.columns}:
+        raise ValueError(f"there is a column {score_col} already")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a fixed number of weights
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = pa.array(shared.value.score(batch.column(at)), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*(f"c{k}" for k in range(batch.num_columns)), "__score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*(f"c{k}" for k in range(batch.num_columns)), "score"])
 
     names = docs.columns
     inner = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
-    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, f"{inner}, __score double").toDF(*names, "__score")
+    return docs.toDF(*[f"c{k}" for k in range(len(names))]).mapInArrow(run, f"{inner}, score double").toDF(*names, score_col)
+
+
+def keep_good(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs that score at least `least`, with all their columns, whatever they are called."""
+    name = free_name(docs.columns, "score")
+    return score(docs, model, id_col, text_col, name).where(F.col(f"`{name}`") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])

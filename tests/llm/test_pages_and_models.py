@@ -11,7 +11,7 @@ from paperloom.llm import queries as Q
 from paperloom.llm.common import Scratch
 from paperloom.llm.decontaminate import clean, contaminated, describe
 from paperloom.llm.extract_html import extract, main_text
-from paperloom.llm.quality import DIMENSIONS, Model, piece_buckets, pool, score, train
+from paperloom.llm.quality import DIMENSIONS, Model, keep_good, piece_buckets, pool, score, train
 from paperloom.llm.simhash import drop_near, shingle_hashes
 from paperloom.llm.url_filter import RULES, judge, spread
 from paperloom.llm.warc import BadArchive, chain, read_warc, write_warc
@@ -232,7 +232,11 @@ def test_quality_on_held_out_rows(spark):
 def test_quality_without_labels_and_on_odd_rows(spark, odd, empty):
     labels = spark.createDataFrame([], "doc_id bigint, quality int")
     model = train(odd, labels)
-    assert {r["__score"] for r in score(odd, model).collect()} == {0.5} and score(odd, model).columns == [*odd.columns, "__score"]
+    assert {r["score"] for r in score(odd, model).collect()} == {0.5} and score(odd, model).columns == [*odd.columns, "score"]
+    clash = odd.withColumnsRenamed({"n": "score", "id": "Score_"})
+    with pytest.raises(ValueError, match="score"):
+        score(clash, model)
+    assert keep_good(clash, model).columns == clash.columns and keep_good(clash, model).count() == odd.count() and keep_good(empty, model).count() == 0
     labels = spark.read.parquet(f"{SMALL}/labels.parquet")
     docs = spark.read.parquet(f"{SMALL}/documents.parquet")
     assert score(odd, train(docs, labels)).count() == odd.count() and score(empty, Model([], [])).count() == 0
@@ -321,6 +325,104 @@ def test_near_stage_is_jaccard(spark):
     assert sum(d < 12000 for d in kept) <= 102
 
 
+def brute_words(text):
+    """(canonical word, value, slot kind, whether it starts a sentence) of each word."""
+    out, ended = [], True
+    for piece in re.findall(r"\n|[^\x20\x09-\x0D]+", text or ""):
+        h, flags, value = describe(piece)
+        if flags & 16:
+            ended |= bool(flags & 8)
+            continue
+        kind = 1 if flags & 1 else 2 if flags & 4 and out and out[-1][2] == 1 else 3 if flags & 2 and not ended else 0
+        out.append((("", "#", "unit", "name")[kind] or f"w{value}", value, kind, ended))
+        ended = bool(flags & 8)
+    return out
+
+
+def brute_windows(words, size, plain):
+    """place -> (window, slots) of one text."""
+    out = {}
+    for k in range(len(words) - size + 1):
+        run = words[k : k + size]
+        literals = sum(w[2] == 0 for w in run)
+        alone = run[0][3] and (k + size == len(words) or words[k + size][3])
+        if not plain and literals < (4 if size == 8 else min(2, size)):
+            continue
+        if size < 8 and not alone and not (size >= 4 and (plain or literals >= 4)):
+            continue
+        out[k] = (tuple(w[1] for w in run), []) if plain else (tuple(w[0] for w in run), [(w[2], w[1]) for w in run if w[2]])
+    return out
+
+
+def brute_contaminated(docs, items):
+    wanted = {}
+    for i, text in items:
+        words = brute_words(text)
+        size = min(8, len(words))
+        if i is not None and size:
+            dense = brute_windows(words, size, False)
+            plain = {k: w for k, w in brute_windows(words, size, True).items() if size < 8 or k not in dense}
+            wanted[i] = size, dense, plain
+    found = set()
+    for d, text in docs:
+        words = brute_words(text)
+        own = {(size, plain): brute_windows(words, size, plain) for size in range(1, 9) for plain in (False, True)}
+        for i, (size, dense, plain) in wanted.items():
+            lined = {}
+            for kind, windows in ((False, dense), (True, plain)):
+                for at, (run, slots) in windows.items():
+                    for k, (other, values) in own[size, kind].items():
+                        if run == other and [x[0] for x in slots] == [x[0] for x in values]:
+                            lined.setdefault(k - at, []).append((at, kind, list(zip(slots, values, strict=True))))
+            matched, literal, longest = set(), set(), 0
+            for hits in lined.values():
+                means = {}
+                for _, _, pairs in hits:
+                    for a, b in pairs:
+                        means.setdefault(a, set()).add(b)
+                good = [h for h in hits if all(a == b for a, b in h[2]) or all(len(means[a]) == 1 for a, _ in h[2])]
+                matched |= {h[0] for h in good}
+                literal |= {h[0] for h in good if not h[1]}
+                places = {h[0] for h in good}
+                for x in places - {y + 1 for y in places}:
+                    n = 1
+                    while x + n in places:
+                        n += 1
+                    longest = max(longest, n)
+            share = max(len(matched) / len({*dense, *plain}), len(literal) / len(dense) if dense else 0)
+            if matched and (share >= 0.3 or longest >= 6):
+                found.add((d, i))
+    return found
+
+
+def test_contaminated_is_the_brute_force_of_its_method(spark):
+    rng = np.random.default_rng(3)
+    small = "the a of Paris London 3 40 km sums and then Anna walks home with 7 apples, far away from it. Who goes? Yes! 12 kg".split()
+    items = [(i, " ".join(rng.choice(small, n))) for i, n in enumerate(rng.integers(1, 30, 60).tolist())]
+    docs = []
+    for d in range(150):
+        parts = [" ".join(rng.choice(small, rng.integers(0, 12)))]
+        for _ in range(2):
+            words = items[rng.integers(0, 60)][1].split()
+            words = [rng.choice(["5", "88", "Rome", w]) if w[0].isdigit() or w[0].isupper() and rng.random() < 0.5 else w for w in words]
+            cut = rng.integers(0, max(1, len(words) // 2))
+            parts += [" ".join(words[cut:] if rng.random() < 0.4 else words), rng.choice(["", ".", "\n"])]
+        docs.append((d, " ".join(parts)))
+    frame = spark.createDataFrame(docs, "doc_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in contaminated(frame, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    want = brute_contaminated(docs, items)
+    assert got == want and 100 < len(want) < 6000
+    docs, items = rows_of("documents", "doc_id", "text"), rows_of("benchmark", "item_id", "text")
+    assert {r.doc_id for r in Q.op7_decontaminate(spark, SMALL).collect()} == {d for d, _ in brute_contaminated(docs, items)}
+
+
+def test_a_short_question_with_other_numbers(spark):
+    items = spark.createDataFrame([(1, "What is 12 plus 30?"), (2, "3 + 4")], "item_id bigint, text string")
+    docs = [(1, "Hello. What is 7 plus 5? Well."), (2, "I know what is 7 plus 5 and more"), (3, "5 + 6"), (4, "So 3 + 4\n"), (5, "3 + 4")]
+    got = {(r.doc_id, r.item_id) for r in contaminated(spark.createDataFrame(docs, "doc_id bigint, text string"), items).collect()}
+    assert got == {(1, 1), (5, 2)}
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline as P
     from paperloom.llm.common import table
