@@ -1,3 +1,4 @@
+import gzip
 import hashlib
 import re
 import zlib
@@ -14,7 +15,7 @@ from paperloom.llm.extract_html import extract, main_text
 from paperloom.llm.quality import DIMENSIONS, Model, keep_good, piece_buckets, pool, score, train
 from paperloom.llm.simhash import drop_near, shingle_hashes
 from paperloom.llm.url_filter import RULES, judge, spread
-from paperloom.llm.warc import BadArchive, chain, read_warc, write_warc
+from paperloom.llm.warc import BadArchive, jumps, read_warc, write_warc
 
 SMALL = "/root/testdata/sf0.001"
 PAGE = "page_id bigint, url string, html string"
@@ -45,15 +46,56 @@ def test_warc_round_trip(spark, tmp_path):
     assert read_warc(spark, f"{path}-empty").count() == 0
 
 
-def test_chain_rejects_magic_in_payloads_and_broken_files():
-    record = lambda body: b"WARC/1.1\r\nContent-Length: %d\r\n\r\n" % len(body) + body + b"\r\n\r\n"
+def brute_records(data):
+    """The blocks of the records that follow each other from the start of a file."""
+    out = []
+    while data:
+        head = data.index(b"\r\n\r\n") + 4
+        n = int(re.search(rb"Content-Length: (\d+)", data[:head])[1])
+        out.append(data[head : head + n])
+        assert data.startswith(b"WARC/1.") and data[head + n : head + n + 4] == b"\r\n\r\n"
+        data = data[head + n + 4 :]
+    return out
+
+
+def record(body, more=b""):
+    return b"WARC/1.1\r\nWARC-Type: resource\r\n%sContent-Length: %d\r\n\r\n" % (more, len(body)) + body + b"\r\n\r\n"
+
+
+@pytest.mark.parametrize("split", [64, 300, 1 << 20])
+def test_chains_of_ranges_reject_magic_in_payloads(spark, tmp_path, split):
+    rng = np.random.default_rng(split)
     inner = record(b"abc")
-    data = record(b"x") + record(inner + inner) + record(b"") + record(b"WARC/1.1\r\n")
-    assert [n for _, _, n in chain(data)] == [1, 2 * len(inner), 0, 10]
-    assert chain(b"") == []
-    for broken in (data[:-1], b"x" + data, data[: len(record(b"x")) + 5], b"junk"):
+    bodies = [b"x", inner + inner, b"", b"WARC/1.1\r\n", b"WARC/1.", inner * 9, b"\r\n", b"\r\n\r\n", b"\n" * 7, b"y" * 900, b"\xff\xfe", inner[:-3]]
+    files = [b"".join(record(bodies[k], b"X: http://WARC/1.1\r\n" if split > 300 and k % 5 == 1 else b"") for k in rng.integers(0, len(bodies), n)) for n in ((1, 40, 5, 0) if split > 64 else (1, 4, 0))]
+    for k, data in enumerate(files):
+        (tmp_path / f"{k}.warc").write_bytes(data)
+    zipped = b"".join(gzip.compress(record(b)) for b in bodies)
+    (tmp_path / "z.warc.gz").write_bytes(zipped)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        got = Counter(bytes(r.payload) for r in read_warc(spark, f"file://{tmp_path}", with_payload=True).collect())
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == Counter(x for data in [*files, gzip.decompress(zipped)] for x in brute_records(data))
+
+
+def test_broken_archives(spark, tmp_path):
+    good = record(b"x") + record(b"y" * 50)
+    digest = b"WARC-Payload-Digest: sha256:%s\r\n" % (b"0" * 64)
+    for k, broken in enumerate((good[:-1], b"x" + good, good[: len(record(b"x")) + 5], b"junk", good + b"tail", record(b"abc", digest))):
+        (tmp_path / f"{k}").mkdir()
+        (tmp_path / f"{k}" / "a.warc").write_bytes(broken)
         with pytest.raises(BadArchive):
-            chain(broken)
+            read_warc(spark, f"file://{tmp_path}/{k}")
+
+
+def test_jumps():
+    # 0 -> 10 -> 30 -> leaves; 20 -> 30; 25 breaks off
+    assert [x[0] for x in jumps([0, 10, 20, 25, 30], [10, 30, 30, 27, 50], 40)] == [50, 50, 50, -1, 50]
+    got = jumps([0, 10, 20, 25, 30], [10, 30, 30, 27, 50], 40)
+    on = lambda c, e: got[c][1] <= got[e][1] <= got[c][2]
+    assert [[c for c in range(5) if on(c, e)] for e in range(5)] == [[0, 1, 4], [1, 4], [2, 4], [3], [4]]
 
 
 def brute_url(url):
