@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
@@ -12,7 +9,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.session import ship_package
+from paperloom.session import checkpoint_folder, ship_package
 
 #: ASCII white space of the contracts, `[\x20\x09-\x0D]`.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -20,14 +17,7 @@ BLANKS = " \t\n\x0b\x0c\r"
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors share, from spark.checkpoint.dir; where that is unset, a new local one for a local master alone."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        atexit.register(shutil.rmtree, found[7:], True)
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    return checkpoint_folder(spark).rstrip("/")
 
 
 #: Rows and bytes that go to a worker at a time, where the session does not say: texts may be long.
