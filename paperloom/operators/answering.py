@@ -16,9 +16,11 @@ from paperloom.functions.text import casefold, query_terms, tokens
 # Abbreviations, sentence ends, heading names, display patterns and operators.
 ABBREVIATIONS = ("e.g.", "i.e.", "mr.", "mrs.", "ms.", "dr.", "prof.", "vs.", "etc.")
 HEADINGS = (
-    "abstract|introduction|background|related work|method|methods|methodology|model|model architecture|architecture|algorithm|approach|training|implementation|implementation details|"
-    "data|dataset|datasets|experiments|experimental setup|results|analysis|evaluation|ablation|ablation study|discussion|limitations|conclusion|conclusions|references|appendix|front matter|title"
-).split("|")
+    "abstract", "introduction", "background", "related work", "method", "methods", "methodology", "model", "model architecture", "architecture", "algorithm",
+    "approach", "training", "implementation", "implementation details", "data", "dataset", "datasets", "experiments", "experimental setup", "results",
+    "analysis", "evaluation", "ablation", "ablation study", "discussion", "limitations", "conclusion", "conclusions", "references", "appendix", "front matter",
+    "title",
+)
 DISPLAYS = (
     r"\$\$.+?\$\$", r"\\\[.+?\\\]", r"\\begin\{(?:equation\*?|align\*?|gather\*?)\}.+?\\end\{(?:equation\*?|align\*?|gather\*?)\}", r"\\\(.+?\\\)", r"(?<!\$)\$(?!\$)[^\n]+?(?<!\$)\$(?!\$)",
 )

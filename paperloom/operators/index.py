@@ -44,6 +44,34 @@ def queries_of(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
     return items.select(F.col(id_col).alias("query_id"), F.explode(query_terms(F.col(text_col))).alias("term"))
 
 
+class StoredIndex:
+    """A written index: postings (doc_id, term_count, term, tf), terms (term, df), documents (doc_id, term_count, norm), stats (n_docs, avg_len)."""
+
+    TABLES = {
+        "postings": "doc_id bigint, term_count bigint, term string, tf bigint", "terms": "term string, df bigint", "documents": "doc_id bigint, term_count bigint, norm double",
+        "stats": "n_docs bigint, avg_len double",
+    }
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.path = path
+        self.postings, self.terms, self.documents, self.stats = (spark.read.schema(schema).parquet(f"{path}/{name}") for name, schema in self.TABLES.items())
+
+
+def build_index(docs: DataFrame, path: str, weight, id_col: str = "doc_id", text_col: str = "text") -> StoredIndex:
+    """Tokenizes every text once and writes the tables that searches read; weight: a term's weight in its document, of tf, n_docs and df, for the norm."""
+    spark = docs.sparkSession
+    rows = tokenized(docs, id_col, text_col).select(F.col("doc_id").cast("long").alias("doc_id"), "term_count", F.explode("terms").alias("term"))
+    rows.groupBy("doc_id", "term_count", "term").agg(F.count("*").alias("tf")).write.parquet(f"{path}/postings")
+    read_back = lambda name: spark.read.schema(StoredIndex.TABLES[name]).parquet(f"{path}/{name}")
+    every = read_back("postings")
+    every.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{path}/terms")
+    n_docs = every.select("doc_id").distinct().count()
+    squares = every.join(read_back("terms"), "term").withColumn("w", weight(F.col("tf"), F.lit(n_docs), F.col("df")))
+    squares.groupBy("doc_id", "term_count").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm")).write.parquet(f"{path}/documents")
+    read_back("documents").agg(F.count("*").alias("n_docs"), F.avg("term_count").alias("avg_len")).write.parquet(f"{path}/stats")
+    return StoredIndex(spark, path)
+
+
 #: Stands for a document as such among its terms; no term is empty.
 WHOLE = ""
 

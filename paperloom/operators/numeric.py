@@ -6,15 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body) -> Column:
+    """body of a value that is computed once, however often the body's own lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def softmax(logits: Column, mask: Column | None = None) -> Column:
-    """Probabilities; masked entries (mask false) are exactly zero."""
+    """Probabilities, in time linear in the logits; masked entries (mask false) are exactly zero."""
     values = F.transform(logits, lambda x: x.cast("double"))
     if mask is not None:
         values = F.zip_with(values, mask, lambda x, m: F.when(m, x))
-    top = F.array_max(values)
-    powers = F.transform(values, lambda x: F.coalesce(F.exp(x - top), F.lit(0.0)))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda x: x / total)
+    shifted = let(values, lambda v: let(F.struct(v.alias("v"), F.array_max(v).alias("top")), lambda s: F.transform(s["v"], lambda x: F.coalesce(F.exp(x - s["top"]), F.lit(0.0)))))
+    total = lambda p: F.struct(p.alias("p"), F.aggregate(p, F.lit(0.0), lambda s, x: s + x).alias("total"))
+    return let(shifted, lambda p: let(total(p), lambda t: F.transform(t["p"], lambda x: x / t["total"])))
 
 
 def cross_entropy(logits: Column, target: Column) -> Column:

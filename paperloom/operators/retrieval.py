@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from paperloom.operators.graph import use_checkpoints
-from paperloom.operators.index import asked_postings, postings
+from paperloom.operators.index import StoredIndex, asked_postings, postings
 
 K1, B = 1.2, 0.75
 DIGITS = 6
@@ -70,6 +70,50 @@ def tfidf(terms: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def tfidf_weight(tf: Column, n: Column, df: Column) -> Column:
+    return sublinear_tf(tf) * smooth_idf(n, df)
+
+
+def _asked(index: StoredIndex, queries: DataFrame) -> DataFrame:
+    """The postings of the terms in queries, with df and the corpus statistics."""
+    asked = queries.join(index.terms, "term").crossJoin(index.stats)
+    return index.postings.join(asked, "term")
+
+
+def bm25_search(index: StoredIndex, queries: DataFrame, k: int = 10, k1: float = K1, b: float = B) -> DataFrame:
+    """bm25 over a stored index."""
+    weight = bm25_weight(F.col("tf"), bm25_idf(F.col("n_docs"), F.col("df")), F.col("term_count"), F.col("avg_len"), k1, b)
+    sums = _asked(index, queries).groupBy("query_id", "doc_id").agg(F.round(F.sum(weight), DIGITS).alias("score"), F.count("*").alias("matched"))
+    return rank(sums, k).select("query_id", "rank", "doc_id", "score", "matched")
+
+
+def tfidf_search(index: StoredIndex, queries: DataFrame, k: int = 10) -> DataFrame:
+    """tfidf over a stored index, whose norms are kept."""
+    idf = smooth_idf(F.col("n_docs"), F.col("df"))
+    norms = queries.join(index.terms, "term").crossJoin(index.stats).groupBy("query_id").agg(F.sqrt(F.sum(idf * idf)).alias("query_norm"))
+    dots = _asked(index, queries).groupBy("query_id", "doc_id").agg(F.sum(tfidf_weight(F.col("tf"), F.col("n_docs"), F.col("df")) * idf).alias("dot"))
+    scores = dots.join(norms, "query_id").join(index.documents.select("doc_id", "norm"), "doc_id")
+    return rank(scores.select("query_id", "doc_id", F.round(F.col("dot") / (F.col("norm") * F.col("query_norm")), DIGITS).alias("score")), k).select("query_id", "rank", "doc_id", "score")
+
+
+METHODS = ("bm25", "tfidf", "hybrid")
+OPTIONS = {"bm25": {"k1", "b"}, "tfidf": set(), "hybrid": {"constant", "left_weight", "right_weight", "depth"}}
+
+
+def search(index: StoredIndex, queries: DataFrame, method: str, k: int = 10, **options) -> DataFrame:
+    """The k best documents of each query by a method; unknown methods, and options that a method has not, are errors."""
+    if method not in METHODS:
+        raise ValueError(f"the method must be one of {METHODS}")
+    if wrong := set(options) - OPTIONS[method]:
+        raise ValueError(f"{method} has no option {sorted(wrong)}")
+    if method == "bm25":
+        return bm25_search(index, queries, k, **options)
+    if method == "tfidf":
+        return tfidf_search(index, queries, k)
+    depth = options.pop("depth", 20)
+    return reciprocal_rank_fusion(bm25_search(index, queries, depth), tfidf_search(index, queries, depth), **options).where(F.col("rank") <= k)
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 

@@ -28,13 +28,13 @@ def sentence_table(spark: SparkSession, d: str) -> DataFrame:
 
 def extractive_answers(spark, d):
     items = S._items(spark, d).select(F.col("item_id").alias("query_id"), "text")
-    found = R.bm25(S._terms(spark, d), S._queries(spark, d), 4).join(I.read(spark, d, "documents", "doc_id", "text"), "doc_id")
+    found = S._bm25(spark, d, 4).join(I.read(spark, d, "documents", "doc_id", "text"), "doc_id")
     return A.select_sentences(A.scored_sentences(found, items))
 
 
 def reranked_search(spark, d):
     terms = S._terms(spark, d)
-    found = R.bm25(terms, S._queries(spark, d), 20).join(terms.select("doc_id", F.array_distinct("terms").alias("terms")), "doc_id")
+    found = S._bm25(spark, d, 20).join(terms.select("doc_id", F.array_distinct("terms").alias("terms")), "doc_id")
     return A.redundancy_rerank(R.max_normalized(found).select("query_id", "doc_id", F.col("normalized").alias("score"), "terms"))
 
 

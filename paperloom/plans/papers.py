@@ -146,8 +146,9 @@ def failure_counts(spark, d):
 
 def run_comparison(spark, d):
     """BM25 against TF-IDF as two runs: best documents and how many of ten are shared."""
-    terms, queries = S._terms(spark, d), S._queries(spark, d)
-    one, two = R.bm25(terms, queries), R.tfidf(terms, queries)
+    queries = S._queries(spark, d)
+    index = S.stored_index(spark, d)
+    one, two = R.search(index, queries, "bm25"), R.search(index, queries, "tfidf")
     both = one.select("query_id", "doc_id", F.col("rank").alias("a")).join(two.select("query_id", "doc_id", F.col("rank").alias("b")), ["query_id", "doc_id"], "full")
     up, down = F.col("b") < F.col("a"), F.col("b") > F.col("a")
     one_if = lambda c: F.sum(F.when(c, 1).otherwise(0))
@@ -160,9 +161,9 @@ def run_comparison(spark, d):
 
 def evidence_sufficiency(spark, d):
     """Coverage and strength of what was found for each query, and whether it suffices."""
-    terms, queries = S._terms(spark, d), S._queries(spark, d)
+    queries = S._queries(spark, d)
     asked = queries.groupBy("query_id").agg(F.count("*").alias("n_terms"))
-    found = R.bm25(terms, queries, 4).groupBy("query_id").agg(F.max("score").alias("top"), F.max("matched").alias("matched"), F.count("*").alias("n_evidence"))
+    found = R.search(S.stored_index(spark, d), queries, "bm25", 4).groupBy("query_id").agg(F.max("score").alias("top"), F.max("matched").alias("matched"), F.count("*").alias("n_evidence"))
     rows = asked.join(found, "query_id", "left").na.fill(0)
     coverage = F.col("matched") / F.col("n_terms")
     score = (coverage + F.col("top") / (1 + F.col("top")) + F.least(F.lit(1.0), F.col("n_evidence") / 4)) / 3

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from paperloom.functions.text import ALIASES, STOPWORDS, query_terms, quoted, sq
 from paperloom.operators import index as I
 from paperloom.operators import metrics as M
 from paperloom.operators import retrieval as R
+from paperloom.session import checkpoint_folder
 
 
 def _terms(spark, d):
@@ -23,6 +26,23 @@ def _queries(spark, d):
     return I.queries_of(_items(spark, d))
 
 
+_BUILT: dict[tuple[str, str], str] = {}
+
+
+def stored_index(spark: SparkSession, d: str) -> I.StoredIndex:
+    """The index of the documents of a folder, built once by an application and read by all its searches."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _BUILT:
+        path = f"{checkpoint_folder(spark).rstrip('/')}/index-{uuid.uuid4().hex}"
+        I.build_index(I.read(spark, d, "documents", "doc_id", "text"), path, R.tfidf_weight)
+        _BUILT[key] = path
+    return I.StoredIndex(spark, _BUILT[key])
+
+
+def _bm25(spark, d, k=10):
+    return R.search(stored_index(spark, d), _queries(spark, d), "bm25", k)
+
+
 def token_counts(spark: SparkSession, d: str) -> DataFrame:
     docs = I.read(spark, d, "documents", "doc_id", "text")
     return docs.select("doc_id", F.size(tokens(F.col("text"))).cast("long").alias("n_terms"), F.size(F.array_distinct(tokens(F.col("text")))).cast("long").alias("n_distinct"))
@@ -41,7 +61,7 @@ def query_normalization(spark, d):
 
 
 def bm25_search(spark, d):
-    return R.bm25(_terms(spark, d), _queries(spark, d))
+    return _bm25(spark, d)
 
 
 def bm25_explain(spark, d):
@@ -50,12 +70,11 @@ def bm25_explain(spark, d):
 
 
 def tfidf_search(spark, d):
-    return R.tfidf(_terms(spark, d), _queries(spark, d))
+    return R.search(stored_index(spark, d), _queries(spark, d), "tfidf")
 
 
 def _sides(spark, d):
-    terms, queries = _terms(spark, d), _queries(spark, d)
-    return R.bm25(terms, queries, 20), R.tfidf(terms, queries, 20)
+    return _bm25(spark, d, 20), R.search(stored_index(spark, d), _queries(spark, d), "tfidf", 20)
 
 
 def rrf_fusion(spark, d):
@@ -67,7 +86,7 @@ def weighted_fusion(spark, d):
 
 
 def max_normalization(spark, d):
-    return R.max_normalized(R.bm25(_terms(spark, d), _queries(spark, d), 20)).select("query_id", "doc_id", "score", "normalized")
+    return R.max_normalized(_bm25(spark, d, 20)).select("query_id", "doc_id", "score", "normalized")
 
 
 def filtered_search(spark, d):
@@ -109,7 +128,7 @@ def ranking_metrics_by_category(spark, d):
 
 def diversified_search(spark, d):
     """The best document of each source first, then the others, both in rank order."""
-    found = R.bm25(_terms(spark, d), _queries(spark, d), 20).join(I.read(spark, d, "documents", "doc_id", "source"), "doc_id")
+    found = _bm25(spark, d, 20).join(I.read(spark, d, "documents", "doc_id", "source"), "doc_id")
     again = F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank")) > 1
     order = Window.partitionBy("query_id").orderBy("again", "rank")
     return found.withColumn("again", again).withColumn("position", F.row_number().over(order).cast("long")).select("query_id", "position", "doc_id", "source")
@@ -117,7 +136,7 @@ def diversified_search(spark, d):
 
 def source_cap(spark, d):
     """At most two documents of a source and four in all, relabelled in rank order."""
-    found = R.bm25(_terms(spark, d), _queries(spark, d), 20).join(I.read(spark, d, "documents", "doc_id", "source"), "doc_id")
+    found = _bm25(spark, d, 20).join(I.read(spark, d, "documents", "doc_id", "source"), "doc_id")
     capped = found.withColumn("n", F.row_number().over(Window.partitionBy("query_id", "source").orderBy("rank"))).where("n <= 2")
     capped = capped.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where("k <= 4")
     return capped.select("query_id", F.concat(F.lit("C"), F.col("k").cast("string")).alias("label"), "doc_id", "source")
@@ -125,7 +144,7 @@ def source_cap(spark, d):
 
 def char_budget(spark, d):
     """4000 characters spent in rank order; the last document is cut, later ones get nothing."""
-    found = R.bm25(_terms(spark, d), _queries(spark, d)).join(I.read(spark, d, "documents", "doc_id", "n_chars"), "doc_id")
+    found = _bm25(spark, d).join(I.read(spark, d, "documents", "doc_id", "n_chars"), "doc_id")
     before = F.coalesce(F.sum("n_chars").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return found.withColumn("before", before).where("before < 4000").select("query_id", "rank", "doc_id", F.least(F.col("n_chars"), 4000 - F.col("before")).alias("chars"))
 
@@ -133,7 +152,7 @@ def char_budget(spark, d):
 def rerank_features(spark, d):
     """Coverage, rare-term coverage and length signals of the twenty best documents, and a score of them."""
     terms, queries = _terms(spark, d), _queries(spark, d)
-    best = R.bm25(terms, queries, 20)
+    best = _bm25(spark, d, 20)
     found, stats = I.asked_postings(terms, queries)
     stats = stats.select("n_docs")
     df = found.groupBy("term").agg(F.count("*").alias("df"))

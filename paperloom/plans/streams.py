@@ -67,7 +67,7 @@ def char_vocabulary(spark, d):
 
 
 def byte_pairs(spark, d):
-    return B.pair_counts(read(spark, d, "benchmark").select(B.byte_ids(F.col("text")).alias("ids"))).select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "n")
+    return B.pair_counts(read(spark, d, "documents", "text").select(B.byte_ids(F.col("text")).alias("ids"))).select(F.col("left").cast("long").alias("left"), F.col("right").cast("long").alias("right"), "n")
 
 
 def char_bigrams(spark, d):
@@ -96,11 +96,11 @@ def bpe_merges(spark, d):
 
 def sequence_windows(spark, d):
     """Byte windows of seventeen ids a document, every sixteen: inputs and targets shifted by one."""
-    ids = read(spark, d, "benchmark", "item_id", "text").select("item_id", B.byte_ids(F.col("text")).alias("ids"))
+    ids = read(spark, d, "documents", "doc_id", "text").select("doc_id", B.byte_ids(F.col("text")).alias("ids"))
     starts = F.when(F.size("ids") > 16, F.sequence(F.lit(0), F.size("ids") - 17, F.lit(16))).otherwise(F.array().cast("array<int>"))
-    rows = ids.select("item_id", "ids", F.explode(starts).alias("start"))
+    rows = ids.select("doc_id", "ids", F.explode(starts).alias("start"))
     join = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), " ")
-    return rows.select("item_id", F.col("start").cast("long").alias("start"), join(F.slice("ids", F.col("start") + 1, 16)).alias("inputs"), join(F.slice("ids", F.col("start") + 2, 16)).alias("targets"))
+    return rows.select("doc_id", F.col("start").cast("long").alias("start"), join(F.slice("ids", F.col("start") + 1, 16)).alias("inputs"), join(F.slice("ids", F.col("start") + 2, 16)).alias("targets"))
 
 
 def _logits(spark, d):
@@ -135,7 +135,7 @@ def turn_parents(spark, d):
 _FC = """c AS (SELECT doc_id, k AS ordinal, k * 500 AS start_character, least(length(text), k * 500 + 600) AS end_character, substr(text, k * 500 + 1, 600) AS text FROM
  (SELECT doc_id, text, unnest(range(greatest(1, ceil((length(text) - 100) / 500.0)::bigint))) AS k FROM documents WHERE length(text) > 0))"""
 _SP = "sp AS (SELECT doc_id AS span_id, doc_id, length(text) // 2 AS start, length(text) // 2 + length(split_part(substr(text, length(text) // 2 + 1, 80), chr(10), 1)) AS stop FROM documents)"
-_BY = "bt AS (SELECT item_id, list_transform(range(1, length(h) // 2 + 1), lambda i: ('0x' || substr(h, (2 * i - 1)::bigint, 2))::int) AS ids FROM (SELECT item_id, hex(encode(text)) AS h FROM benchmark))"
+_BY = "bt AS (SELECT doc_id, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: ('0x' || x)::int) AS ids FROM documents)"
 _SM = "list_transform({v}, lambda x: exp(x - list_max({v})))"
 _L = "l AS (SELECT vec_id AS id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 
@@ -165,8 +165,8 @@ SQL = {
         sha256(substr(text, floor(length(text) * 0.9::double)::bigint + 1)) AS validation_sha256 FROM documents""",
     "corpus_sizes": f"""SELECT lang, sum(strlen(text))::bigint AS bytes, sum(length(text))::bigint AS chars, sum(n)::bigint AS terms, round(sum(strlen(text))::double / sum(n), 6) AS bytes_per_term
         FROM (SELECT lang, text, len({T.sql_tokens('text')}) AS n FROM documents) GROUP BY lang""",
-    "sequence_windows": f"""WITH {_BY}, s AS (SELECT item_id, ids, unnest(range(0, len(ids) - 16, 16)) AS start FROM bt)
-        SELECT item_id, start, array_to_string(list_slice(ids, start + 1, start + 16), ' ') AS inputs, array_to_string(list_slice(ids, start + 2, start + 17), ' ') AS targets FROM s""",
+    "sequence_windows": f"""WITH {_BY}, s AS (SELECT doc_id, ids, unnest(range(0, len(ids) - 16, 16)) AS start FROM bt)
+        SELECT doc_id, start, array_to_string(list_slice(ids, start + 1, start + 16), ' ') AS inputs, array_to_string(list_slice(ids, start + 2, start + 17), ' ') AS targets FROM s""",
     "softmax_top_k": f"""WITH {_L}, e AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS token_id FROM l), r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY x DESC, token_id) AS rank FROM e),
         t AS (SELECT *, exp(x - max(x) OVER (PARTITION BY id)) AS p FROM r WHERE rank <= 3) SELECT id, rank, token_id, round(p / sum(p) OVER (PARTITION BY id), 6) AS probability FROM t""",
     "masked_softmax": f"""WITH {_L}, e AS (SELECT id, unnest(v) AS x, unnest(range(len(v))) AS i FROM l), m AS (SELECT id, i, CASE WHEN i % 2 = 1 THEN exp(x - max(CASE WHEN i % 2 = 1 THEN x END) OVER (PARTITION BY id)) ELSE 0 END AS p FROM e),
