@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from functools import wraps
 
-from paperloom.plans import answers, curation, evaluation, incremental, papers, questions, search, streams
+from paperloom.plans import answers, curation, evaluation, incremental, papers, questions, records, search, streams
 
 from paperloom.session import ship_package
 
-MODULES = (search, curation, streams, papers, questions, answers, evaluation, incremental)
+MODULES = (search, curation, streams, papers, questions, answers, evaluation, records, incremental)
 
 
 def _shipped(f):

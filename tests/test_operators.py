@@ -181,3 +181,58 @@ def test_ingest_takes_each_file_once(spark, tmp_path):
         ingest(spark, folder, "*.parquet", "k long", lambda rows: rows, out, state)
         spark.createDataFrame([(more,)], "k long").coalesce(1).write.mode("append").parquet(folder)
     assert sorted(r.k for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_stored_index_and_dispatch(spark, tmp_path):
+    from paperloom.operators import index as I
+    from paperloom.operators import retrieval as R
+
+    docs = spark.createDataFrame([(1, "red fox runs"), (2, "red red hen"), (3, None), (4, "blue sky over the fox")], "doc_id bigint, text string")
+    queries = I.queries_of(spark.createDataFrame([(9, "red fox")], "item_id bigint, text string"))
+    index = I.build_index(docs, f"file://{tmp_path}/index", R.tfidf_weight)
+    terms = I.tokenized(docs)
+    for method, plain in (("bm25", R.bm25(terms, queries, 3)), ("tfidf", R.tfidf(terms, queries, 3))):
+        assert R.search(index, queries, method, 3).collect() == plain.collect()
+    assert [r.doc_id for r in R.search(index, queries, "hybrid").collect()][0] == 1
+    for wrong in (lambda: R.search(index, queries, "semantic"), lambda: R.search(index, queries, "tfidf", k1=2.0)):
+        with pytest.raises(ValueError, match="method|option"):
+            wrong()
+
+
+def test_evaluation_operators(spark):
+    from paperloom.operators import evaluation as E
+    from paperloom.operators import records as R
+
+    one = spark.range(1)
+    get = lambda c: one.select(c.alias("x")).first().x
+    array = lambda *v: F.array(*[F.lit(x) for x in v]).cast("array<string>")
+    found = {k: get(v) for k, v in E.concepts(F.lit("What results does Adam report in 3.5 epochs of GPT-4?")).items()}
+    assert found["entities"] == ["adam", "gpt-4"] and found["numbers"] == ["3.5", "4"] and found["intent"] == "numerical" and found["optional"] == ["report"]
+    assert get(E.citation_display(F.lit("P"), F.lit(2), F.lit(3), F.lit(1), F.lit(9), array("a", "b"))) == "[P, pp. 2–3, § a › b]"
+    assert get(E.citation_display(F.lit("P"), F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(4), F.lit(4), array())) == "[P, line 4]"
+    assert get(E.fact_present(F.lit("the rate  was low"), F.lit("low rate"))) and not get(E.fact_present(F.lit("the rate was low"), F.lit("low = rate")))
+    empty = {k: get(v) for k, v in E.set_metrics(array(), array()).items()}
+    assert empty == {"precision": 1.0, "recall": 1.0, "f1": 1.0, "exact": 1.0}
+    gold = spark.createDataFrame([(1, 10, 2), (1, 11, 1)], "query_id int, doc_id int, grade int")
+    hits = spark.createDataFrame([(1, 1, 11, 0.9), (1, 2, 12, 0.5), (2, 1, 5, 0.1)], "query_id int, rank int, doc_id int, score double")
+    grades = {r.query_id: r for r in E.retrieval_grades(hits, gold).collect()}
+    # gains 1 of an ideal of 3 + 1 / log2(3); the missing one counts as rank 3
+    assert grades[1].ndcg == round(1 / (3 + 1 / 1.584962500721156), 6) and grades[1].mean_relevant_rank == 2.0 and grades[1].recall_at_1 == 0.5
+    assert grades[2].ndcg == 1.0 and grades[2].mean_relevant_rank is None
+    passes = [(1, "evidence_critic", 1, "supports"), (1, "evidence_critic", 2, "unsupported"), (1, "answer_critic", 1, "direct"), (1, "final_adjudicator", 1, "direct")]
+    got = E.disagreements(spark.createDataFrame(passes, "id int, role string, seq int, outcome string")).first()
+    assert got.categories == ["evidence_critic_vs_answer_critic", "final_adjudicator_overrides_majority"]
+    with pytest.raises(ValueError, match="filter"):
+        E.metadata_filter(one, colour="red")
+    with pytest.raises(ValueError, match="single"):
+        E.record_reviews(one.select("id", F.lit("p").alias("status")), spark.createDataFrame([(7, "a")], "id bigint, status string"))
+    assert [get(R.safe_filename(F.lit(x))) for x in ("a/b c?.PDF", ".md", "x.exe", "")] == ["b c_.PDF", "paper.md", None, None]
+
+
+def test_json_store(spark, tmp_path):
+    from paperloom.operators.records import read_json_store
+
+    path = f"file://{tmp_path}/store.json"
+    assert read_json_store(spark, path, "a int").count() == 0
+    (tmp_path / "store.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert [r.a for r in read_json_store(spark, path, "a int").collect()] == [1, 2]
