@@ -10,6 +10,7 @@ fitted on labelled rows that the layers did not see calibrates it.  Only the tex
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from paperloom.llm.common import free_name
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 #: The labelled sample: so many rows of at most so many code points, those with the lowest hashes of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 32_768
-#: Pieces whose buckets a worker remembers; a full memory is emptied.
-CACHE_PIECES = 500_000
+#: Pieces whose buckets a worker remembers, packed; a full memory is emptied, and so is that of an ended task.
+CACHE_PIECES = 200_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 _ENDS = re.compile(r"([^\w\s]*)(.*?)([^\w\s]*)", re.S)
 
@@ -41,8 +42,6 @@ def _shape(word: str) -> str:
 
 
 def _bucket(kind: str, text: str) -> int:
-    import zlib
-
     return zlib.crc32(f"{kind}{text}".encode("utf-8", "surrogatepass")) % BUCKETS
 
 
@@ -54,17 +53,19 @@ def piece_buckets(piece: str) -> tuple[int, ...]:
 
 
 REPEAT = _bucket("r", "")
-_SEEN: dict[str, tuple[int, ...]] = {}
+_SEEN: dict[str, bytes] = {}
 
 
-def buckets_of(distinct: list[str]) -> list[tuple[int, ...]]:
-    """The buckets of pieces, computed once while a worker remembers them."""
+def buckets_of(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """How many buckets each piece has, and all of them in a row; computed once while a worker remembers them."""
     if len(_SEEN) > CACHE_PIECES:
         _SEEN.clear()
     for p in distinct:
         if p not in _SEEN:
-            _SEEN[p] = piece_buckets(p)
-    return [_SEEN[p] for p in distinct]
+            _SEEN[p] = np.array(piece_buckets(p), dtype=np.uint16).tobytes()
+    packed = [_SEEN[p] for p in distinct]
+    n = np.fromiter(map(len, packed), dtype=np.int64, count=len(packed)) >> 1
+    return n, np.frombuffer(b"".join(packed), dtype=np.uint16)
 
 
 def index_vectors() -> np.ndarray:
@@ -95,9 +96,7 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
     out = []
     for block in pieces.blocks(texts):
         distinct, at, offsets = pieces.cut(block)
-        buckets = buckets_of(distinct)
-        n = np.array([len(b) for b in buckets], dtype=np.int64)
-        flat = np.array([x for b in buckets for x in b], dtype=np.int64)
+        n, flat = buckets_of(distinct)
         own = np.zeros((len(distinct), DIMENSIONS), dtype=np.float32)
         some = np.flatnonzero(n)
         if len(some):
@@ -215,6 +214,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             found = pa.array(shared.value.score(batch.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*(f"c{k}" for k in range(batch.num_columns)), "score"])
+        _SEEN.clear()  # workers live on in later stages
+        pieces.release()
 
     names = docs.columns
     inner = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))
