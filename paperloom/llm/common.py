@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows and bytes that go to a worker at a time, where the session does not say: texts may be long.
-BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "16m"}
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "2000", "spark.sql.execution.arrow.maxBytesPerBatch": "4m"}
 
 
 def prepare(spark: SparkSession) -> None:
