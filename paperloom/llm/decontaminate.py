@@ -214,6 +214,7 @@ def contaminated(
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.only()
         on = shared.value
 
         def known(h: np.ndarray) -> np.ndarray:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +22,18 @@ def release() -> None:
         pass
 
 
+#: What a worker remembers from task to task, by its user, and how to forget it.
+MEMORIES: dict[str, Callable[[], None]] = {}
+
+
+def only(user: str = "") -> None:
+    """Forgets what others than `user` remember, at the start of a task: workers of one stage share, later stages do not pay."""
+    for name, forget in MEMORIES.items():
+        if name != user:
+            forget()
+    release()
+
+
 def blocks(texts: pa.Array) -> Iterator[pa.Array]:
     """Runs of texts of about BLOCK_BYTES; null counts as empty."""
     texts = pc.fill_null(texts.cast(pa.string()), "")

@@ -25,7 +25,7 @@ from paperloom.llm.common import free_name
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 14, 64, 6, 2
 #: The labelled sample: so many rows of at most so many code points, those with the lowest hashes of their ids.
 SAMPLE_ROWS, SAMPLE_CHARS = 2000, 32_768
-#: Pieces whose buckets a worker remembers, packed; a full memory is emptied, and so is that of an ended task.
+#: Pieces whose buckets a worker remembers, packed; a full memory is emptied.
 CACHE_PIECES = 200_000
 HIDDEN, EPOCHS, BATCH, RATE, DECAY = 32, 60, 64, 3e-3, 1e-4
 _ENDS = re.compile(r"([^\w\s]*)(.*?)([^\w\s]*)", re.S)
@@ -54,6 +54,7 @@ def piece_buckets(piece: str) -> tuple[int, ...]:
 
 REPEAT = _bucket("r", "")
 _SEEN: dict[str, bytes] = {}
+pieces.MEMORIES["quality"] = _SEEN.clear
 
 
 def buckets_of(distinct: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -98,9 +99,12 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         distinct, at, offsets = pieces.cut(block)
         n, flat = buckets_of(distinct)
         own = np.zeros((len(distinct), DIMENSIONS), dtype=np.float32)
-        some = np.flatnonzero(n)
-        if len(some):
-            own[some] = np.add.reduceat(vectors[flat], (np.cumsum(n) - n)[some], axis=0)
+        step = 50_000  # pieces whose vectors are held at a time
+        some, ends = np.flatnonzero(n), np.cumsum(n)
+        for a in range(0, len(some), step):
+            now = some[a : a + step]
+            begin = ends[now] - n[now]
+            own[now] = np.add.reduceat(vectors[flat[begin[0] : ends[now[-1]]]], begin - begin[0], axis=0)
         total = np.zeros((len(block), DIMENSIONS), dtype=np.float32)
         count = np.zeros(len(block), dtype=np.int64)
         # a word that follows itself counts once more, as the pseudo-word of repetition
@@ -109,7 +113,6 @@ def pool(texts: pa.Array, vectors: np.ndarray) -> np.ndarray:
         repeats = np.bincount(doc[again > offsets[doc]], minlength=len(block))
         total += repeats[:, None].astype(np.float32) * vectors[REPEAT]
         count += repeats
-        step = 50_000  # pieces whose vectors are held at a time
         for a in range(0, len(at), step):
             b = min(len(at), a + step)
             first = int(np.searchsorted(offsets, a, side="right")) - 1
@@ -211,11 +214,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pieces.only("quality")
         for batch in batches:
             found = pa.array(shared.value.score(batch.column(at)), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, found], names=[*(f"c{k}" for k in range(batch.num_columns)), "score"])
-        _SEEN.clear()  # workers live on in later stages
-        pieces.release()
 
     names = docs.columns
     inner = ", ".join(f"c{k} {f.dataType.simpleString()}" for k, f in enumerate(docs.schema.fields))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.llm.common import Scratch
-from paperloom.llm.pieces import release
+from paperloom.llm.pieces import only, release
 
 #: A-Z to a-z; other bytes stay.
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -281,6 +281,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     work = Scratch(docs.sparkSession, "simhash")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             fp = [fingerprint(t.as_py(), words, bits) for t in batch.column(2)]
             release()
@@ -363,6 +364,7 @@ def drop_near(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", w
     text = F.coalesce(F.col(text_at), F.lit(""))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only()
         for batch in batches:
             fp = []
             for t in batch.column(2):

@@ -16,12 +16,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from paperloom.llm.pieces import release
+from paperloom.llm.pieces import MEMORIES, only, release
 
 #: Pieces that a worker remembers; a full cache is emptied.
 CACHE_PIECES = 500_000
 #: UTF-8 bytes of text that are cut at a time.
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 
 #: Unicode white space without the ASCII characters, and what Python alone counts as such.
 _WIDE = r"\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -122,10 +122,12 @@ class PieceEncoder:
 
 
 _MODELS: dict[tuple[str, str], PieceEncoder] = {}
+MEMORIES["tokens"] = _MODELS.clear
 
 
 def encoder(path: str, split: str) -> PieceEncoder:
-    """This worker's encoder for a vocabulary file."""
+    """This worker's encoder for a vocabulary file; asked for once a task."""
+    only("tokens")
     if (path, split) not in _MODELS:
         _MODELS[path, split] = PieceEncoder(path, split)
     return _MODELS[path, split]
