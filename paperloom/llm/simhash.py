@@ -6,7 +6,7 @@ can differ, so some choice of the others agrees.  For a large radius they are ch
 tables as the wanted recall asks for.  A comparison stores bit planes vertically, adds many
 differences at once into carry-save counters, and abandons the words in which every distance is
 beyond the radius.  Comparisons give a star per local component, never all pairs; components are
-found by label propagation with pointer jumping.  Keys with many fingerprints are keyed anew by
+found by pointer jumping and contraction of the edges.  Keys with many fingerprints are keyed anew by
 their remaining bits or cut into chunks, and every pair of chunks is a unit of its own.  The stage
 of the pipeline takes such components as candidates and links by exact Jaccard similarity.
 """
@@ -254,20 +254,37 @@ def link(fps: DataFrame, bits: int, radius: int, tables: list[list[int]], work:
 
 
 def components(edges: DataFrame, work: Scratch) -> DataFrame:
-    """(node, root) of every node of the edges (a, b); the root is the smallest node of its component."""
-    both = work.save(edges.union(edges.select("b", "a")).toDF("src", "dst"), "both")
-    labels = work.save(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("root")), "labels")
-    while True:
-        around = work.save(both.join(labels.withColumnRenamed("node", "dst"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("low")), "low")
-        lower = work.save(labels.join(around, "node").select("node", "root", F.least("root", "low").alias("new")), "lower")
-        above = lower.select(F.col("node").alias("new"), F.col("new").alias("top"))
-        jumped = work.save(lower.join(above, "new").select("node", F.col("root").alias("was"), F.col("top").alias("root")), "jumped")
-        moved = not jumped.where("was <> root").isEmpty()
-        work.drop(labels, around, lower)
-        labels = jumped
-        if not moved:
-            work.drop(both)
-            return labels.select("node", "root")
+    """(node, root) of every node of the edges (a, b); the root is the smallest node of its component.
+
+    Each round points every node at its smallest neighbour, jumps to the end of these pointers, and
+    contracts the edges to those between the nodes that are left, so dense groups shrink at once.
+    """
+
+    def jump(to: DataFrame) -> DataFrame:
+        """Follows the pointers (node, root) until they end; a root points at itself."""
+        while True:
+            top = to.select(F.col("node").alias("root"), F.col("root").alias("top"))
+            jumped = work.save(to.join(top, "root").select("node", F.col("root").alias("was"), F.col("top").alias("root")), "jumped")
+            work.drop(to)
+            if jumped.where("was <> root").isEmpty():
+                return jumped.select("node", "root")
+            to = work.save(jumped.select("node", "root"), "pointers")
+            work.drop(jumped)
+
+    left = work.save(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "left")
+    found = None
+    while not left.isEmpty():
+        both = left.union(left.select("b", "a")).toDF("node", "near")
+        roots = jump(work.save(both.groupBy("node").agg(F.min("near").alias("low")).select("node", F.least("node", "low").alias("root")), "low"))
+        one = left.join(roots.toDF("a", "ra"), "a").join(roots.toDF("b", "rb"), "b").where("ra <> rb")
+        after = work.save(one.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "left")
+        work.drop(left)
+        left = after
+        if found is None:
+            found = roots
+        else:  # roots of this round's nodes replace what pointed at them
+            found = work.save(found.join(roots.toDF("root", "top"), "root", "left").select("node", F.coalesce("top", "root").alias("root")), "found")
+    return found if found is not None else work.save(edges.select(F.col("a").alias("node"), F.col("b").alias("root")).limit(0), "none")
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, bits: int = 64, radius: int = 2) -> DataFrame:
