@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,16 +36,16 @@ def read_json_store(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.option("multiLine", True).option("mode", "FAILFAST").schema(schema).json(path)
 
 
-def concept_grades(concepts: DataFrame, claims: DataFrame, answers: DataFrame) -> DataFrame:
+def concept_grades(concepts: DataFrame, claims: DataFrame, answers: DataFrame, present: Callable[[Column, Column], Column] = T.phrase_present) -> DataFrame:
     """Per graph: recall of required concepts by supported claims, and how many are missing, uncited or unsupported.
 
-    concepts: graph, concept; claims: graph, claim, cited, supported; answers: graph, answer.
+    concepts: graph, concept; claims: graph, claim, cited, supported; answers: graph, answer; present: whether a text holds a concept.
     """
-    here = T.phrase_present(F.col("claim"), F.col("concept"))
+    here = present(F.col("claim"), F.col("concept"))
     seen = concepts.join(claims, "graph", "left").groupBy("graph", "concept").agg(
         F.max(F.coalesce(here, F.lit(False))).alias("claimed"), F.max(F.coalesce(here & F.col("cited"), F.lit(False))).alias("cited"), F.max(F.coalesce(here & F.col("supported"), F.lit(False))).alias("supported")
     )
-    rows = seen.join(answers, "graph", "left").withColumn("present", F.col("claimed") | F.coalesce(T.phrase_present(F.col("answer"), F.col("concept")), F.lit(False)))
+    rows = seen.join(answers, "graph", "left").withColumn("present", F.col("claimed") | F.coalesce(present(F.col("answer"), F.col("concept")), F.lit(False)))
     n = lambda c: F.sum(c.cast("int")).cast("long")
     c = F.col
     return rows.groupBy("graph").agg(
